@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .decontaminate import op3_decontaminate
+from .rules import OP8_SQL, op8_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": op3_decontaminate,
+        "op8_rules": op8_rules,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_rules": OP8_SQL}
