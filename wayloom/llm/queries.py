@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe
 from .decontaminate import op3_decontaminate
 from .rules import OP8_SQL, op8_rules
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
+        "op4_warc": op4_warc,
         "op8_rules": op8_rules,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_rules": OP8_SQL}
+    return {"op4_warc": OP4_SQL, "op8_rules": OP8_SQL}
