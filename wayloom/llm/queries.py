@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .chat import OP6_SQL, op6_chat
 from .decontaminate import op3_decontaminate
+from .licenses import op7_licenses
 from .rules import OP8_SQL, op8_rules
 from .warc import OP4_SQL, op4_warc
 
@@ -16,10 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_warc": op4_warc,
+        "op6_chat": op6_chat,
+        "op7_licenses": op7_licenses,
         "op8_rules": op8_rules,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_rules": OP8_SQL}
+    return {"op4_warc": OP4_SQL, "op6_chat": OP6_SQL, "op8_rules": OP8_SQL}
