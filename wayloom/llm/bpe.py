@@ -33,8 +33,8 @@ MATRIX_CELLS = 1 << 16
 #: Above this many columns the compaction moves row by row.
 WIDE = 64
 #: Encoded pre-tokens kept by a worker, and texts (in characters) encoded together.
-CACHE_ROWS = 800_000
-CHUNK_CHARS = 2 << 20
+CACHE_ROWS = 400_000
+CHUNK_CHARS = 1 << 20
 #: Rank of a pair that never merges.
 NEVER = np.int32(2**31 - 1)
 
@@ -142,6 +142,13 @@ class Merges:
             rank[at[some] - 1, some] = self.lookup(left[some], here[some]).astype(np.int64) << 32 | (at[some] - 1)
         return done
 
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The bytes of the ids of each text."""
+        ids = ids.astype(np.int64)
+        raw = ragged(self.flat, self.start[ids], self.length[ids])
+        off = np.concatenate([[0], np.cumsum(self.length[ids])])[bounds].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw.tobytes())])
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one piece after the other, and the number for each."""
         count = np.zeros(len(pieces), np.int64)
@@ -256,8 +263,12 @@ def encode(
     text_col: str = "text",
     ranks_path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
+    decoded: bool = False,
 ) -> DataFrame:
-    """(id, ids array<int>): the ids of every whole text, without special tokens."""
+    """(id, ids array<int>): the ids of every whole text, without special tokens.
+
+    With ``decoded`` also the bytes that the ids decode to, from the same pass.
+    """
     ranks = df.sparkSession.sparkContext.broadcast(
         read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     )  # a vocabulary file: its size does not depend on the data
@@ -269,53 +280,47 @@ def encode(
             keys, texts = b.column(0), b.column(1)
             i = 0
             while i < len(keys):
-                j, chars = i, 0
-                part = []
+                j, chars, part = i, 0, []
                 while j < len(keys) and (j == i or chars < CHUNK_CHARS):
                     part.append(texts[j].as_py() or "")
                     chars += len(part[-1])
                     j += 1
                 ids, bounds = coder.texts(part)
-                values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), values], names=["id", "ids"])
+                out = [keys.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    out.append(coder.merges.decode(ids, bounds))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded"][: len(out)])
                 i = j
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded
+    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
-    """(id, ids, decoded binary): the bytes of every id, one after the other."""
+    """(id, decoded binary): the bytes of every id, one after the other; null ids give none."""
     ranks = df.sparkSession.sparkContext.broadcast(
         read_ranks(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     )
     kind = df.schema[id_col].dataType
 
     def run(batches):
-        by_id = {r: t for t, r in ranks.value}
-        size = max(by_id) + 1
-        length = np.array([len(by_id.get(i, b"")) for i in range(size)], np.int64)
-        start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
+        merges = Merges(ranks.value)
         for b in batches:
             lists = b.column(1)
             if lists.null_count:
                 lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
-            off = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64)
-            raw = ragged(flat, start[ids], length[ids])
-            bounds = np.concatenate([[0], np.cumsum(length[ids])])[off - off[0]]
-            data = pa.Array.from_buffers(
-                pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, data], names=["id", "ids", "decoded"])
+            off = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+            yield pa.RecordBatch.from_arrays([b.column(0), merges.decode(ids, off - off[0])], names=["id", "decoded"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return out.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return out.mapInArrow(run, f"id {kind.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    coded = encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
