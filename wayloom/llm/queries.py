@@ -10,6 +10,7 @@ from .bpe import op10_bpe
 from .chat import OP6_SQL, op6_chat
 from .decontaminate import op3_decontaminate
 from .licenses import op7_licenses
+from .quality import op5_quality
 from .rules import OP8_SQL, op8_rules
 from .warc import OP4_SQL, op4_warc
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_warc": op4_warc,
+        "op5_quality": op5_quality,
         "op6_chat": op6_chat,
         "op7_licenses": op7_licenses,
         "op8_rules": op8_rules,
