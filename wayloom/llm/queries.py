@@ -12,6 +12,7 @@ from .decontaminate import op3_decontaminate
 from .licenses import op7_licenses
 from .quality import op5_quality
 from .rules import OP8_SQL, op8_rules
+from .urls import op9_urls
 from .warc import OP4_SQL, op4_warc
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": op6_chat,
         "op7_licenses": op7_licenses,
         "op8_rules": op8_rules,
+        "op9_urls": op9_urls,
         "op10_bpe": op10_bpe,
     }
 
