@@ -97,19 +97,19 @@ def choose_matches(excess: np.ndarray, n: int, percent: int) -> int:
 
 
 def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """(id, n, digest, prefix keys, meta): meta holds hot n-grams of the prefix and its matches."""
+    """(id, n, digest, prefix keys, matches)."""
 
     def run(batches):
         o = order.value
         for b in batches:
             for i, data, off in string_chunks(b.column(1)):
-                size, digest, prefixes, meta = [], [], [], []
+                size, digest, prefixes, most = [], [], [], []
                 for grams in ngram_sets(data, off, n):
                     size.append(len(grams))
                     digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                     if not len(grams):
                         prefixes.append(b"")
-                        meta.append(0)
+                        most.append(0)
                         continue
                     level = o.level[grams & np.uint64(CELLS - 1)].astype(np.uint64)
                     key = level << np.uint64(56) | grams >> np.uint64(8)
@@ -118,17 +118,17 @@ def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
                     matches = choose_matches(o.excess[(grams[by] & np.uint64(CELLS - 1)).astype(np.int64)], len(key), percent)
                     key = key[: prefix(len(key), percent, matches)]
                     prefixes.append(key.tobytes())
-                    meta.append(int((key >> np.uint64(56) > 0).sum()) * 16 + matches)
+                    most.append(matches)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, len(off) - 1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(meta, pa.int32())],
-                    names=["id", "n", "digest", "prefix", "meta"],
+                    [b.column(0).slice(i, len(off) - 1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(most, pa.int32())],
+                    names=["id", "n", "digest", "prefix", "matches"],
                 )
 
-    return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, meta int")
+    return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, matches int")
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(gram, id, n, meta, idx): idx marks the first places, where the smaller set of a pair must match."""
+def _postings(sets: DataFrame) -> DataFrame:
+    """(gram, id, n, matches): the prefixes, one n-gram a row."""
 
     def run(batches):
         for b in batches:
@@ -136,37 +136,28 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 continue
             keys = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             size = np.array([len(k) for k in keys])
-            n, meta = b.column(1).to_numpy(), b.column(3).to_numpy()
-            # the smaller set of a pair overlaps by 2t/(1+t) of its size at least
-            head = n - -(-2 * percent * n // (100 + percent)) + (meta & 15)
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            rest = [np.repeat(c.to_numpy(), size) for c in (b.column(0), b.column(1), b.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys)),
-                    pa.array(np.repeat(b.column(0).to_numpy(), size)),
-                    pa.array(np.repeat(n, size).astype(np.int32)),
-                    pa.array(np.repeat(meta, size).astype(np.int32)),
-                    pa.array(place < np.repeat(head, size)),
-                ],
-                names=["gram", "id", "n", "meta", "idx"],
+                [pa.array(np.concatenate(keys)), pa.array(rest[0]), pa.array(rest[1].astype(np.int32)), pa.array(rest[2])],
+                names=["gram", "id", "n", "matches"],
             )
 
-    return sets.select("id", "n", "prefix", "meta").mapInArrow(run, "gram long, id long, n int, meta int, idx boolean")
+    return sets.select("id", "n", "prefix", "matches").mapInArrow(run, "gram long, id long, n int, matches int")
 
 
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (kind 0: a, b, n = matches, meta packed) and crowded postings (kind 1: gram, id, n, idx)."""
+    """Pairs (kind 0: ids, common n-grams, sizes with matches) and crowded postings (kind 1: gram, id, n)."""
 
     def run(batches):
-        cols = [[], [], [], [], []]
+        cols = [[], [], [], []]
         for b in batches:
             for c, x in zip(cols, b.columns, strict=True):
                 c.append(x.to_numpy(zero_copy_only=False))
         if not cols[0]:
             return
-        gram, doc, n, meta, idx = (np.concatenate(c) for c in cols)
+        gram, doc, n, matches = (np.concatenate(c).astype(np.int64) for c in cols)
         by = np.lexsort((doc, gram))
-        gram, doc, n, meta, idx = gram[by], doc[by], n[by].astype(np.int64), meta[by], idx[by]
+        gram, doc, n, matches = gram[by], doc[by], n[by], matches[by]
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         size = np.diff(np.append(starts, len(gram)))
         run_size = np.repeat(size, size)
@@ -174,8 +165,9 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
         some = (run_size > 1) & ~crowd
         out = []
         if crowd.any():
-            out.append((np.ones(crowd.sum(), np.int32), gram[crowd], doc[crowd], n[crowd], idx[crowd].astype(np.int64), np.zeros(crowd.sum(), np.int64)))
-        gram, doc, n, meta, idx = gram[some], doc[some], n[some], meta[some], idx[some]
+            none = np.zeros(crowd.sum(), np.int64)
+            out.append((np.ones(len(none), np.int32), gram[crowd], doc[crowd], n[crowd], none, none))
+        gram, doc, n, matches = gram[some], doc[some], n[some], matches[some]
         found = []
         at = np.arange(len(gram))
         for step in range(1, PAIRED):
@@ -184,10 +176,8 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 break
             a, b = at, at + step
-            small, large = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)
-            both = np.where(n[a] == n[b], idx[a] & idx[b], idx[small])
-            ok = both & (100 * n[small] >= percent * n[large]) & (doc[a] != doc[b])
-            found.append(np.stack([np.where(doc[a] < doc[b], a, b)[ok], np.where(doc[a] < doc[b], b, a)[ok]]))
+            ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (doc[a] != doc[b])
+            found.append(np.stack([a[ok], b[ok]]))  # rows are sorted by id within an n-gram
         if found:
             a, b = np.concatenate(found, axis=1)
             if len(a):
@@ -197,7 +187,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(a)))
                 a, b = a[first], b[first]
-                out.append((np.zeros(len(a), np.int32), doc[a], doc[b], count, n[a] << 32 | meta[a], n[b] << 32 | meta[b]))
+                out.append((np.zeros(len(a), np.int32), doc[a], doc[b], count, n[a] << 8 | matches[a], n[b] << 8 | matches[b]))
         for kind, x, y, c, p, q in out:
             for i in range(0, len(x), 100_000):
                 s = slice(i, i + 100_000)
@@ -213,17 +203,13 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     )
 
     def part(c: str):
-        n = F.shiftright(c, 32)
-        meta = F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-        matches, hot = meta.bitwiseAND(F.lit(15)), F.shiftright(meta, 4)
-        length = F.least(n, n - F.ceil(F.lit(percent) * n / 100) + matches)
-        return n, matches, hot, n - length
-
-    (n1, m1, h1, r1), (n2, m2, h2, r2) = part("p"), part("q")
-    # matches on crowded n-grams are not counted here: any of them may be shared as well
-    possible = F.col("c") + F.least(h1, h2) + F.greatest(r1, r2)
+        n, matches = F.shiftright(c, 8), F.col(c).bitwiseAND(F.lit(255))
+        return n, matches, n - F.least(n, n - F.ceil(F.lit(percent) * n / 100) + matches)
+
+    (n1, m1, r1), (n2, m2, r2) = part("p"), part("q")
+    # pairs that also share a crowded n-gram are decided there, so the count is complete here
     needed = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
-    return d.where((F.col("c") + F.least(h1, h2) >= F.least(m1, m2)) & (possible >= needed)).select("a", "b")
+    return d.where((F.col("c") >= F.least(m1, m2)) & (F.col("c") + F.greatest(r1, r2) >= needed)).select("a", "b")
 
 
 def _verified(d: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -294,28 +280,27 @@ def near_duplicates(
     first = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
     chosen = every.where("n > 0").join(first.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_semi")
     chosen = chosen.dropDuplicates(["digest", "id"])
-    postings = _postings(chosen, percent)
+    postings = _postings(chosen)
     crowded = postings.where(F.shiftright("gram", 56) > 0)
     met = materialise(_meet(postings.where(F.shiftright("gram", 56) == 0).repartition("gram"), percent), "met")
-    hot = met.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("id"), F.col("c").cast("int").alias("n"), (F.col("p") > 0).alias("idx"))
-    hot = materialise(hot.unionByName(crowded.select("gram", "id", "n", "idx")), "crowded")
+    hot = met.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("id"), F.col("c").cast("int").alias("n"))
+    hot = materialise(hot.unionByName(crowded.select("gram", "id", "n")), "crowded")
     links = _verified(d, _candidates(met, percent), n, percent)
     comp = components(links)
     for turn in range(PIVOT_ROUNDS + 1):
         state = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        state = state.select("gram", "id", "n", "idx", "comp")
+        state = state.select("gram", "id", "n", "comp")
         lot = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("comp"))
-        pivot = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("idx").alias("any"), F.min(lot).alias("pivot"))
-        pivot = pivot.where("low < high AND any").select("gram", F.col("pivot.id").alias("p_id"), F.col("pivot.n").alias("p_n"), F.col("pivot.comp").alias("p_comp"))
+        pivot = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(lot).alias("pivot"))
+        pivot = pivot.where("low < high").select("gram", F.col("pivot.id").alias("p_id"), F.col("pivot.n").alias("p_n"), F.col("pivot.comp").alias("p_comp"))
         if turn < PIVOT_ROUNDS:
             fits = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (F.col("comp") != F.col("p_comp"))
             pairs = state.join(pivot, "gram").where(fits).select(*_pair("id", "p_id"))
         else:
             one = state.join(pivot.select("gram"), "gram", "left_semi")
-            two = one.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("idx").alias("idx2"), F.col("comp").alias("comp2"))
-            # the smaller set (by size, then id) meets the larger within its first places
-            rest = (F.struct("n", "id") < F.struct("n2", "id2")) & F.col("idx") & (F.col("n") * 100 >= F.col("n2") * percent)
-            pairs = one.where("idx").join(two, "gram").where(rest & (F.col("comp") != F.col("comp2"))).select(*_pair("id", "id2"))
+            two = one.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            rest = (F.struct("n", "id") < F.struct("n2", "id2")) & (F.col("n") * 100 >= F.col("n2") * percent)
+            pairs = one.join(two, "gram").where(rest & (F.col("comp") != F.col("comp2"))).select(*_pair("id", "id2"))
         pairs = materialise(pairs.distinct(), "pivots")
         if pairs.limit(1).count() == 0:
             if turn == PIVOT_ROUNDS or state.join(pivot.select("gram"), "gram", "left_semi").limit(1).count() == 0:
