@@ -633,3 +633,72 @@ UNION ALL SELECT -v * 2 - 2, v, -2, 0.0 FROM vert WHERE v >= 420""")
 def terminal_overlay(spark: SparkSession, d: str) -> DataFrame:
     v = fx.vertices(spark)
     return nw.with_terminals(fx.edges(spark), v.where("v < 21"), v.where("v >= 420"))
+
+
+# --- logs of runs ---------------------------------------------------------------------
+
+LOGS = """lgs AS (
+  SELECT 'run' || (l_orderkey % 9) AS run, l_linenumber::INT AS it, 'step' || (l_suppkey % 3) AS step, l_partkey * 1.0::DOUBLE AS spent,
+         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k
+  FROM lineitem WHERE l_orderkey % 50 = 0)"""
+
+
+def logs(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines made of order lines, and read again."""
+    from pyspark.sql import Window
+
+    from . import experiment as ex
+
+    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # a small test log
+    li = fx.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").withColumn("k", F.row_number().over(order))
+    at = F.timestamp_seconds(F.col("k") + F.lit(1_700_000_000))
+    body = F.struct(F.col("l_linenumber").alias("it"), F.concat(F.lit("step"), F.col("l_suppkey") % 3).alias("step"), F.col("l_partkey").cast("double").alias("timeSpent"))
+    lines = li.select(F.concat(F.lit("run"), F.col("l_orderkey") % 9).alias("run"), ex.format_log(at, body).alias("line"))
+    return ex.read_log(lines)
+
+
+@query(
+    "run_times",
+    f"""WITH {LOGS}, one AS (SELECT run, it, step, arg_max(spent, k) AS t FROM lgs GROUP BY run, it, step)
+SELECT run, it, sum(t) AS "timeSpent" FROM one GROUP BY ROLLUP (run, it) HAVING run IS NOT NULL""",
+)
+def run_times(spark: SparkSession, d: str) -> DataFrame:
+    from . import experiment as ex
+
+    return ex.times_by_iteration(logs(spark, d))
+
+
+@query(
+    "status_counts",
+    """SELECT c.c_mktsegment AS name, count(*) FILTER (WHERE o_orderstatus = 'F') AS "F", count(*) FILTER (WHERE o_orderstatus = 'O') AS "O",
+  count(*) FILTER (WHERE o_orderstatus = 'P') AS "P" FROM orders JOIN customer c ON o_custkey = c_custkey GROUP BY 1
+UNION ALL SELECT 'total', count(*) FILTER (WHERE o_orderstatus = 'F'), count(*) FILTER (WHERE o_orderstatus = 'O'), count(*) FILTER (WHERE o_orderstatus = 'P')
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    from . import experiment as ex
+
+    o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    s = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("name"), F.col("o_orderstatus").alias("status"))
+    return ex.status_counts(s, ["F", "O", "P"])
+
+
+@query("session_split", f"{PIECES} SELECT count(*) AS n_pieces, sum(n)::BIGINT AS n_points FROM (SELECT traj_id, count(*) AS n FROM spl GROUP BY traj_id)")
+def session_split(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming form of split_on_time, over the batch."""
+    from ..streaming.sessions import sessions
+
+    e = fx.points(spark, d).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    return sessions(e, "6 hours").agg(F.count("*").alias("n_pieces"), F.sum("n").alias("n_points"))
+
+
+@query(
+    "seeded_selection",
+    """SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey <= 400)""",
+)
+def seeded_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded shuffle takes every path if asked for all of them."""
+    from . import experiment as ex
+
+    ids = sorted(r.path_id for r in fx.paths(spark, d).where("path_id <= 400").select("path_id").distinct().collect())
+    return spark.createDataFrame([(len(set(ex.select_ids(ids, 7, "fraction", 1.0))),)], "n long")
