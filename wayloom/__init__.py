@@ -1 +1,11 @@
-"""wayloom: trajectory and road-network analytics as Spark DataFrame plans."""
+"""wayloom: trajectory and road-network analytics as Spark DataFrame plans.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of
+the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import frechet as fr
 from ..functions.graph import Net
 from ..functions.solve import greedy_refine, min_cost_flow, nnls_batched, nnls_gram, nnls_incremental
-from ..store import cut
+from ..store import cut, ship
 from . import field as fl
 from .nets import collected
 from .trajectory import to_arrays
@@ -359,7 +359,7 @@ def search(problem: Problem, algorithm: Decomposer, residual: DataFrame, first:
         rows = [(n, [net.e[i] for i in p], float(w)) for n, p, w in algorithm.all_paths(net, held, epsilon, weight)]
         found = spark.createDataFrame(rows, FOUND)
     else:
-        shared = spark.sparkContext.broadcast((net, weight))
+        shared = ship(spark, (net, weight))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             network, values = shared.value

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import Net
-from ..store import cut
+from ..store import Shipped, cut, ship
 
 #: Edges of a network that is sent to every task (a large city has a few hundred thousand).
 MOST_EDGES = 2_000_000
@@ -23,8 +22,8 @@ def collected(edges: DataFrame, vertices: DataFrame) -> Net:
     return Net([tuple(r) for r in rows], [tuple(r) for r in places])
 
 
-def broadcast_net(edges: DataFrame, vertices: DataFrame) -> Broadcast:
-    return edges.sparkSession.sparkContext.broadcast(collected(edges, vertices))
+def broadcast_net(edges: DataFrame, vertices: DataFrame) -> Shipped:
+    return ship(edges.sparkSession, collected(edges, vertices))
 
 
 def distances(edges: DataFrame, sources: DataFrame, bound: float | None = None, most: int = 10_000) -> DataFrame:

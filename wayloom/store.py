@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and objects that are sent to every task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/wayloom-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Shipped:
+    """A broadcast object of any class; unlike a plain broadcast, workers need not import its module."""
+
+    def __init__(self, data: Broadcast):
+        self.data, self.held = data, None
+
+    def __reduce__(self):
+        return Shipped, (self.data,)
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = cloudpickle.loads(self.data.value)
+        return self.held
+
+
+def ship(spark: SparkSession, value) -> Shipped:
+    """Broadcast ``value``; its size must be bounded, as that of any broadcast."""
+    return Shipped(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
