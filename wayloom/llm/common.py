@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,29 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_folder, ship  # noqa: F401  (operators take it from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach.
-
-    The cluster names it in spark.checkpoint.dir; where that is unset (tests), a
-    temporary folder of this machine is used, once per application.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), f"wayloom-{sc.applicationId}")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

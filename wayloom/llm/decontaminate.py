@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alphanumeric, materialise, string_chunks, table, words_of
+from .common import alphanumeric, materialise, ship, string_chunks, table, words_of
 
 WINDOW = 13
 #: Characters of benchmark text that are broadcast at once.
@@ -293,7 +293,7 @@ def find_contamination(
     d = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def passed(block: DataFrame) -> DataFrame:
-        phrases = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in block.collect()], window))
+        phrases = ship(spark, Phrases([(r.i, r.t) for r in block.collect()], window))
 
         def run(batches):
             shard = Shard(phrases.value)

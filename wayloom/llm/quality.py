@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, space_separated, string_chunks, table, words_of
+from .common import mix, ship, space_separated, string_chunks, table, words_of
 
 #: Labelled documents of each label that are fitted, at most.
 SAMPLE = 1024
@@ -183,8 +183,8 @@ def classify(
 
     The model is fitted on the labelled rows of ``fitted_on`` (``documents`` if none).
     """
-    model = documents.sparkSession.sparkContext.broadcast(
-        fit(documents if fitted_on is None else fitted_on, labels, id_col, text_col, label_col, sample)
+    model = ship(
+        documents.sparkSession, fit(documents if fitted_on is None else fitted_on, labels, id_col, text_col, label_col, sample)
     )  # fixed size: FEATURES * DIMENSIONS weights and 2 * sample vectors
     d = documents.select(F.col(text_col).cast("string").alias("text_"), F.col(id_col).alias("id_"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     schema = d.select("id_", *(f"keep_{c}" for c in keep)).schema.add("score", "double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, ship, table
 
 #: Words of the dictionary, and tokens of the model, at most.
 VOCABULARY, TOKENS = 50_000, 100_000
@@ -136,8 +136,8 @@ def filter_urls(
     spam_words: frozenset[str] = SPAM_WORDS,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score, words): score is the log odds of block."""
-    sc = pages.sparkSession.sparkContext
-    segmenter = sc.broadcast(count_words(pages, url_col, html_col))  # VOCABULARY words at most
+    spark = pages.sparkSession
+    segmenter = ship(spark, count_words(pages, url_col, html_col))  # VOCABULARY words at most
     host, path = url_parts(F.col(url_col).cast("string"))
     d = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     d = d.withColumn("fit", rule_column(F.col("host"), F.col("path"), rules))
@@ -167,8 +167,9 @@ def filter_urls(
     learned = d.select("host", "path", "verdict").mapInArrow(learn, "verdict string, token string, n long")
     learned = learned.groupBy("verdict", "token").agg(F.sum("n").alias("n"))
     top = learned.orderBy(F.col("token") != "", F.desc("n"), "token", "verdict").limit(TOKENS).collect()
-    model = sc.broadcast(
-        Bayes({(r.verdict, r.token): r.n for r in top if r.token}, {r.verdict: r.n for r in top if not r.token})
+    model = ship(
+        spark,
+        Bayes({(r.verdict, r.token): r.n for r in top if r.token}, {r.verdict: r.n for r in top if not r.token}),
     )  # TOKENS weights at most
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, host string, path string, rule string, verdict string, score double, words string"
