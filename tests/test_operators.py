@@ -176,7 +176,7 @@ def test_experiment_grid():
     assert ex.runs(s | {"runMode": "single"}) == [{"name": "x", "problemInstance": {"epsilon": 1}}]
     assert ex.get_path(ex.set_path({}, "a.b", 1), "a.b") == 1 and ex.delete_path({"a": {"b": 1}}, "a.b") == {"a": {}}
     assert ex.select_ids(list("abcdefghij"), 3, "fraction", 0.25) == ex.select_ids(list("abcdefghij"), 3, "fixed", 2)
-    assert ex.parse_result_name("it=3-0_newbasis-alg.boosttxt") == {"it": 3, "step": 0, "what": "newbasis", "alg": "alg"}
+    assert ex.parse_result_name("it=3-0_newbasis-alg.txt") == {"it": 3, "step": 0, "what": "newbasis", "alg": "alg"}
 
 
 def test_streamed_sessions_equal_the_batch(spark, tmp_path):

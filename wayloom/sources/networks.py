@@ -14,8 +14,8 @@ from ..functions.geometry import distance, to_utm, utm_zone
 
 #: Road classes that are kept, and their layer.
 LAYERS = {
-    "motorway": 0, "motorway_link": 0, "trunk": 1, "trunk_link": 1, "primary": 2, "primary_link": 2,
-    "secondary": 3, "secondary_link": 3, "tertiary": 4, "tertiary_link": 4, "unclassified": 5, "residential": 6,
+    "motorway": 0, "motorway_link": 0, "trunk": 0, "trunk_link": 0, "primary": 1, "primary_link": 1,
+    "secondary": 2, "secondary_link": 2, "tertiary": 3, "tertiary_link": 3, "unclassified": 4, "residential": 4,
 }
 
 
