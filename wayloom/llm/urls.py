@@ -5,7 +5,7 @@ with its own, and the longest wins.  For all other urls, the host's labels are s
 words by a unigram Viterbi search, and a multinomial naive Bayes model scores those words
 with the path's tokens.
 
-The dictionary is counted over the urls and titles of all pages; the model keeps its
+The dictionary is counted over the paths, hyphenated host labels and titles of all pages; the model keeps its
 VOCABULARY most frequent words (a documented bound).  Naive Bayes learns over all pages:
 hosts whose words include a known spam word are examples of block, urls that an allow rule
 or no rule fits are examples of allow (block rules state a policy about places, not about
@@ -101,9 +101,10 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], list[
 
 
 def count_words(pages: DataFrame, url_col: str, html_col: str | None) -> dict[str, int]:
-    """Unigram counts over host labels, paths and titles of all pages; the most frequent VOCABULARY."""
+    """Unigram counts over hyphenated host labels, paths and titles of all pages; the most frequent VOCABULARY."""
     host, path = url_parts(F.col(url_col).cast("string"))
-    text = F.concat_ws(" ", host, F.lower(path))
+    parted = F.filter(F.split(host, r"\."), lambda x: x.contains("-"))  # other labels may be words run together
+    text = F.concat_ws(" ", F.array_join(parted, " "), F.lower(path))
     if html_col is not None:
         text = F.concat_ws(" ", text, F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word <> '' AND length(word) <= 24")

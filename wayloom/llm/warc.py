@@ -13,9 +13,8 @@ table of names is written before it is used.
 Payload duplicates: of records with equal payloads of at least ``min_bytes`` bytes, the one
 of the smallest page id is a response, the others are revisits without the payload.
 
-Defined results: null html is an empty payload, a null url leaves the target out; a null
-page id never is the first of its group unless all are null (then all are responses);
-repeated rows of one page id are each a record of the same type; other columns are not
+Defined results: null html is an empty payload, a null url leaves the target out; a record
+of a null page id is a response, and no revisit refers to it; repeated rows of one page id are each a record of the same type; other columns are not
 carried; an empty table gives no archives and no rows.
 """
 
@@ -24,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -57,7 +57,7 @@ def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
     head.append(f"WARC-Record-ID: <urn:page:{'' if page_id is None else urllib.parse.quote(str(page_id))}>")
     head.append(f"WARC-Date: {date}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=SAFE)}")
+        head.append(f"WARC-Target-URI: {CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}")
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
@@ -66,8 +66,8 @@ def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
     return "\r\n".join(head).encode() + END + block + END
 
 
-#: Characters of a URL that a header holds as they are.
-SAFE = "%:/?#[]@!$&'()*+,;=~-._"
+#: Characters of a URL that cannot stand in a header; they are written as escapes.
+CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def fields(head: bytes) -> dict[str, str]:
@@ -241,9 +241,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
                         kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                         if kind == "response" and payload_digest(body) != digest:
                             raise ValueError(f"a payload of {path} at {entry['offset']} does not have its digest")
-                        url = head.get("WARC-Target-URI")
-                        url = None if url is None else urllib.parse.unquote(url) if "%" in url else url
-                        row = (urn(head["WARC-Record-ID"]), url, int(http["Content-Length"]), digest, kind, urn(head.get("WARC-Refers-To")), body)
+                        row = (urn(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), int(http["Content-Length"]), digest, kind, urn(head.get("WARC-Refers-To")), body)
                         rows.append(row[: len(names)])
                         held += len(body) if payload else 0
                         if len(rows) >= 5000 or held > READ_BYTES * 8:
