@@ -33,14 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one of smallest id."""
     classes = near_duplicates(docs).where("component IS NULL OR component = doc_id").select("doc_id").distinct()
-    return docs.join(classes.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(classes.withColumnRenamed("doc_id", "_pipeline_kept"), F.col("doc_id").eqNullSafe(F.col("_pipeline_kept")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule marks go."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated())
-    marked = found.select(F.col("doc_id").alias("marked_id")).distinct()
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("marked_id")), "left_anti")
+    marked = found.select(F.col("doc_id").alias("_pipeline_marked")).distinct()
+    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_pipeline_marked")), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
