@@ -175,8 +175,12 @@ def line_classes(lines: DataFrame) -> DataFrame:
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(one, "a").join(two, "b").where(F.abs(F.length("x") - F.length("y")) <= THRESHOLD)
     swap = F.length("x") <= F.length("y")
-    both = both.select("a", "b", F.split(F.when(swap, F.col("x")).otherwise(F.col("y")), "").alias("s"), F.split(F.when(swap, F.col("y")).otherwise(F.col("x")), "").alias("l"))
-    links = both.where(within(F.col("s"), F.col("l"), THRESHOLD)).select("a", "b")
+    short, long = F.when(swap, F.col("x")).otherwise(F.col("y")), F.when(swap, F.col("y")).otherwise(F.col("x"))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("a", "b", short.alias("s"), long.alias("l")).repartition(tasks, "a", "b")  # few bytes, much work
+    # bound as variables of a function, the character arrays are built once for a pair
+    close = let(F.split("s", ""), lambda s: let(F.split("l", ""), lambda l: within(s, l, THRESHOLD)))
+    links = both.where(close).select("a", "b")
     return components(materialise(links, "line-links")).select(F.col("node").alias("id"), F.col("comp").alias("class"))
 
 
@@ -200,13 +204,15 @@ def removed_lines(repeats: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS) -> DataFrame:
     """The documents without the removed lines; a document that loses all its words goes."""
     gone = removed_lines(repeated_lines(documents, id_col, text_col), most_docs)
-    gone = gone.groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("pos").alias("gone_pos"))
+    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     gone = materialise(gone, "line-gone")
-    d = documents.join(gone, F.col(id_col).eqNullSafe(F.col("gone_doc")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("gone_pos"), i))
-    text = F.when(F.col("gone_pos").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    d = d.withColumn("new_text", text).where(F.col("gone_pos").isNull() | (F.btrim("new_text", F.lit(BLANK + "\n")) != ""))
-    return d.select(*(F.col("new_text").alias(c) if c == text_col else F.col(c) for c in documents.columns))
+    d = documents.select(F.struct(*documents.columns).alias("row"))  # no name of the input can clash
+    d = d.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
+    old = F.col(f"row.{text_col}")
+    kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    d = d.withColumn("text", text).where(F.col("gone").isNull() | (F.btrim("text", F.lit(BLANK + "\n")) != ""))
+    return d.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in documents.columns))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
