@@ -12,10 +12,11 @@
    the count reaches l and, with all that may lie beyond the prefixes, the needed overlap.
 5. An n-gram that many documents have in their prefix does not emit all pairs.  Its
    documents are compared to a pivot, once a round and with another pivot each round, and
-   only as long as they are in different classes; what then is still undecided is
-   enumerated in full.  So no link between different classes is lost.
-6. Candidates are verified by exact intersection of whole sets, and the links become
-   classes by label propagation.
+   only as long as they are in different classes; likewise each document tries one of its
+   candidates a round.  What then is still undecided is verified in full.  So no link
+   between different classes is lost.
+6. Candidates are verified by exact intersection of whole sets, which lie in buckets by
+   id, and the links become classes by label propagation.
 
 Defined results: a null or empty text has no set and is linked with nothing; a text of
 fewer words than n has its whole sequence as one n-gram; equal texts are always linked;
@@ -26,6 +27,7 @@ as often; other columns are not carried; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .cells import SCHEMA as CELL_ROWS
 from .cells import gathered, packed, partition_number
-from .common import materialise, mix, space_separated, string_chunks, table, words_of
+from .common import drop_table_files, fresh_dir, materialise, mix, ship, space_separated, string_chunks, table, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -44,7 +46,7 @@ CELLS, FLAGS = 1 << 21, 1 << 24
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 #: Documents of an n-gram that are paired at once; more are compared to pivots.
 PAIRED = 24
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 
 
 def ngram_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -146,7 +148,7 @@ def _postings(sets: DataFrame) -> DataFrame:
 
 
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (kind 0: ids, common n-grams, sizes with matches) and crowded postings (kind 1: gram, id, n)."""
+    """Pairs (kind 0: ids, common n-grams, sizes with matches) and crowded postings (kind 1: gram, id, n, matches)."""
 
     def run(batches):
         cols = [[], [], [], []]
@@ -166,7 +168,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
         out = []
         if crowd.any():
             none = np.zeros(crowd.sum(), np.int64)
-            out.append((np.ones(len(none), np.int32), gram[crowd], doc[crowd], n[crowd], none, none))
+            out.append((np.ones(len(none), np.int32), gram[crowd], doc[crowd], n[crowd], matches[crowd], none))
         gram, doc, n, matches = gram[some], doc[some], n[some], matches[some]
         found = []
         at = np.arange(len(gram))
@@ -196,11 +198,14 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "kind int, x long, y long, c long, p long, q long")
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
+def _counts(met: DataFrame) -> DataFrame:
+    """(a, b, c, p, q): the common uncrowded prefix n-grams of each pair that has any."""
+    d = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
+    return d.agg(F.sum("c").alias("c"), F.max("p").alias("p"), F.max("q").alias("q"))
+
+
+def _candidates(counts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose matches reach both the multi-match count and the overlap still possible."""
-    d = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(
-        F.sum("c").alias("c"), F.max("p").alias("p"), F.max("q").alias("q")
-    )
 
     def part(c: str):
         n, matches = F.shiftright(c, 8), F.col(c).bitwiseAND(F.lit(255))
@@ -209,23 +214,25 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     (n1, m1, r1), (n2, m2, r2) = part("p"), part("q")
     # pairs that also share a crowded n-gram are decided there, so the count is complete here
     needed = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
-    return d.where((F.col("c") >= F.least(m1, m2)) & (F.col("c") + F.greatest(r1, r2) >= needed)).select("a", "b")
+    return counts.where((F.col("c") >= F.least(m1, m2)) & (F.col("c") + F.greatest(r1, r2) >= needed)).select("a", "b")
 
 
-def _verified(d: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; only texts of marked documents are read."""
+def _sets(d: DataFrame, ids: DataFrame, n: int) -> tuple[str, DataFrame]:
+    """Name and rows (id, grams) of the documents ``ids``: a table in buckets by id, so that joins on id move no set.
+
+    The texts of other documents are passed over by flags of fixed size (a few extra
+    documents may slip in, none is missing).
+    """
     spark = d.sparkSession
-    pairs = materialise(pairs.distinct(), "candidates")
 
     def mark(batches):
         flags = np.zeros(FLAGS // 8, np.uint8)
         for b in batches:
-            for c in b.columns:
-                at = (mix(c.to_numpy().astype(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)
-                np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            at = (mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)
+            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from packed(flags, partition_number())
 
-    flags = spark.sparkContext.broadcast(gathered(pairs.mapInArrow(mark, CELL_ROWS), FLAGS // 8, np.uint8, "or"))
+    flags = ship(spark, gathered(ids.mapInArrow(mark, CELL_ROWS), FLAGS // 8, np.uint8, "or"))
 
     def read(batches):
         for b in batches:
@@ -237,28 +244,93 @@ def _verified(d: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(off) - 1), pa.array(sets, pa.binary())], names=["id", "grams"])
 
     sets = d.where("id IS NOT NULL").mapInArrow(read, "id long, grams binary")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(sets.join(ids, "id", "left_semi"), "sets")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"wayloom_sets_{uuid.uuid4().hex}"
+    put = sets.repartition(tasks, "id").write.bucketBy(tasks, "id").sortBy("id").option("path", fresh_dir(spark, "sets"))
+    put.saveAsTable(name)
+    return name, spark.table(name)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, link, far): whether the whole sets are similar, and their Jaccard distance."""
 
     def compare(batches):
         for b in batches:
-            ok = []
+            link, far = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
-                ok.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+                union = len(x) + len(y) - same
+                link.append(100 * same >= percent * union and same > 0)
+                far.append(1 - same / max(union, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(link, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "link", "far"])
 
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return materialise(both.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    got = both.mapInArrow(compare, "a long, b long, link boolean, far double")
+    # an id with several texts: the nearest counts
+    return materialise(got.groupBy("a", "b").agg(F.max("link").alias("link"), F.min("far").alias("far")), "verified")
 
 
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _open_pairs(candidates: DataFrame, comp: DataFrame, turn: int, every: bool) -> DataFrame:
+    """Candidates between different classes: one for each document, or every one."""
+    for c in ("a", "b"):
+        candidates = candidates.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"class_{c}")), c, "left")
+    classes = [F.coalesce(f"class_{c}", c) for c in ("a", "b")]
+    open_ = candidates.where(classes[0] != classes[1]).select("a", "b")
+    if every:
+        return open_
+    one = open_.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("lot"), F.col("b"))).alias("one"))
+    return one.select("a", F.col("one.b").alias("b"))
+
+
+def _state(hot: DataFrame, comp: DataFrame) -> DataFrame:
+    state = hot.join(comp.withColumnRenamed("node", "id"), "id", "left")
+    return state.withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _pivots(state: DataFrame, turn: int) -> DataFrame:
+    """(gram, id2, n2, comp2) for crowded n-grams whose documents are in different classes.
+
+    A pivot is a document with few uncrowded n-grams, as it lies in the middle of its copies.
+    """
+    lot = F.struct(F.floor(F.col("cold") / (1 << turn)), F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("comp"))
+    pivot = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(lot).alias("pivot"))
+    return pivot.where("low < high").select("gram", *(F.col(f"pivot.{c}").alias(f"{c}2") for c in ("id", "n", "comp")))
+
+
+def _fits(percent: int):
+    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("comp") != F.col("comp2"))
+
+
+def _undecided(state: DataFrame, counts: DataFrame, percent: int, turns: list[int]) -> DataFrame:
+    """All pairs of a crowded n-gram's documents that are in different classes and may be similar.
+
+    Two exact bounds thin them out.  Jaccard distance is a metric: distances to a common
+    pivot differ by no more than the distance of the two.  And their common prefix
+    n-grams, crowded and uncrowded, with what lies beyond the prefixes, must allow the
+    needed overlap.
+    """
+    mixed = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
+    one = state.join(mixed, "gram", "left_semi")
+    two = one.select("gram", *(F.col(c).alias(f"{c}2") for c in one.columns if c != "gram"))
+    met = one.join(two, "gram").where("id < id2").where(_fits(percent))
+    for t in turns:
+        apart = F.abs(F.col(f"far_{t}") - F.col(f"far_{t}2")) > 1 - percent / 100 + 1e-9
+        met = met.where(~F.coalesce(apart, F.lit(False)))
+    both = met.groupBy(*_pair("id", "id2")).agg(
+        F.count("*").alias("crowded"), F.greatest(F.max("rest"), F.max("rest2")).alias("beyond"), (F.max("n") + F.max("n2")).alias("sizes")
+    )
+    needed = F.ceil(F.lit(percent) * F.col("sizes") / (100 + percent))
+    reach = F.col("crowded") + F.coalesce("c", F.lit(0)) + F.col("beyond")
+    return both.join(counts.select("a", "b", "c"), ["a", "b"], "left").where(reach >= needed).select("a", "b")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -275,7 +347,7 @@ def near_duplicates(
         yield from packed(total, partition_number())
 
     counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint32, "sum")
-    order = spark.sparkContext.broadcast(Order(counts))  # CELLS cells, whatever the input
+    order = ship(spark, Order(counts))  # CELLS cells, whatever the input
     every = materialise(_prepare(d, n, percent, order), "prefixes")
     first = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
     chosen = every.where("n > 0").join(first.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_semi")
@@ -283,33 +355,42 @@ def near_duplicates(
     postings = _postings(chosen)
     crowded = postings.where(F.shiftright("gram", 56) > 0)
     met = materialise(_meet(postings.where(F.shiftright("gram", 56) == 0).repartition("gram"), percent), "met")
-    hot = met.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("id"), F.col("c").cast("int").alias("n"))
-    hot = materialise(hot.unionByName(crowded.select("gram", "id", "n")), "crowded")
-    links = _verified(d, _candidates(met, percent), n, percent)
-    comp = components(links)
+    hot = met.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("id"), F.col("c").cast("int").alias("n"), F.col("p").cast("int").alias("matches"))
+    hot = materialise(hot.unionByName(crowded.select("gram", "id", "n", "matches")), "crowded")
+    counts = materialise(_counts(met), "counts")
+    candidates = _candidates(counts, percent)
+    drop_table_files(met)
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
+    name, sets = _sets(d, ids, n)
+    links = tried = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "node long, comp long")
+    length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + F.max("matches")).cast("long")
+    size = hot.groupBy("id", "n").agg((length - F.count("*")).alias("cold"), (F.col("n") - length).alias("rest"))
+    hot = materialise(hot.join(size, ["id", "n"]).drop("matches"), "crowded")
+    turns = []
     for turn in range(PIVOT_ROUNDS + 1):
-        state = hot.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        state = state.select("gram", "id", "n", "comp")
-        lot = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("comp"))
-        pivot = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(lot).alias("pivot"))
-        pivot = pivot.where("low < high").select("gram", F.col("pivot.id").alias("p_id"), F.col("pivot.n").alias("p_n"), F.col("pivot.comp").alias("p_comp"))
+        state, pivots = _state(hot, comp), None
         if turn < PIVOT_ROUNDS:
-            fits = (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent) & (F.col("comp") != F.col("p_comp"))
-            pairs = state.join(pivot, "gram").where(fits).select(*_pair("id", "p_id"))
+            pivots = materialise(_pivots(state, turn), "pivots")
+            crowded = state.join(pivots, "gram").where(_fits(percent)).select(*_pair("id", "id2"))
         else:
-            one = state.join(pivot.select("gram"), "gram", "left_semi")
-            two = one.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            rest = (F.struct("n", "id") < F.struct("n2", "id2")) & (F.col("n") * 100 >= F.col("n2") * percent)
-            pairs = one.join(two, "gram").where(rest & (F.col("comp") != F.col("comp2"))).select(*_pair("id", "id2"))
-        pairs = materialise(pairs.distinct(), "pivots")
-        if pairs.limit(1).count() == 0:
-            if turn == PIVOT_ROUNDS or state.join(pivot.select("gram"), "gram", "left_semi").limit(1).count() == 0:
-                break
-            continue
-        more = _verified(d, pairs, n, percent)
-        links = links.unionByName(more)
-        if more.limit(1).count():
+            crowded = _undecided(state, counts, percent, turns)
+        pairs = _open_pairs(candidates, comp, turn, pivots is None).unionByName(crowded).distinct()
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue  # another pivot may still meet another class
+        seen = _verified(pairs, sets, percent)
+        more = seen.where("link").select("a", "b")
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        if pivots is not None:
+            turns.append(turn)
+            far = F.when(F.col("id") == F.col("id2"), F.lit(0.0)).otherwise(F.col("far")).alias(f"far_{turn}")
+            near = hot.join(pivots.select("gram", "id2"), "gram", "left").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
+            hot = materialise(near.join(seen.drop("link"), ["a", "b"], "left").select(*hot.columns, far), "crowded")
+        if not more.isEmpty():
             comp = components(links)
+    drop_table_files(sets)
+    spark.sql(f"DROP TABLE {name}")
     classes = first.join(comp.select(F.col("node").alias("first"), "comp"), "first", "left")
     classes = classes.select("digest", F.coalesce("comp", "first").alias("component"))
     out = every.select("id", "n", "digest").join(classes, "digest", "left")
