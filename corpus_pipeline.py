@@ -21,8 +21,8 @@ from wayloom.llm.quality import classify, held_out
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go."""
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    scored = classify(docs, labels, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("score >= 0.5").select(*docs.columns)
+    scored = classify(docs, labels, keep=tuple(c for c in docs.columns if c != "doc_id"), score_col="_pipeline_score")
+    return scored.where("_pipeline_score >= 0.5").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ class Model:
             return np.full(len(rows), self.prior)
         v = self.unit(self.weighted(rows) @ self.project)
         cosine = v @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
+        k = min(NEIGHBOURS, int(np.bincount(self.labels.astype(int), minlength=2).min()))  # the rarer label can win
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         sim = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
         vote = ((sim * self.labels[near]).sum(1) + PRIOR * self.prior) / (sim.sum(1) + PRIOR)
@@ -178,8 +178,9 @@ def classify(
     sample: int = SAMPLE,
     keep: tuple[str, ...] = (),
     fitted_on: DataFrame | None = None,
+    score_col: str = "score",
 ) -> DataFrame:
-    """(id, ``keep`` columns, score): the voted share of label 1 for every whole text.
+    """(id, ``keep`` columns, ``score_col``): the voted share of label 1 for every whole text.
 
     The model is fitted on the labelled rows of ``fitted_on`` (``documents`` if none).
     """
@@ -197,7 +198,7 @@ def classify(
                 yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(np.concatenate(scores))], names=schema.names)
 
     out = d.mapInArrow(run, schema)
-    return out.select(F.col("id_").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "score")
+    return out.select(F.col("id_").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), F.col("score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):
