@@ -64,13 +64,20 @@ def keys(lines: DataFrame, pieces: int) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), one)
 
     both = F.concat(cut(F.col("size"), True), F.when(F.col("size") > MIN_CHARS, cut(F.col("size") - 1, False)).otherwise(F.array()))
-    return lines.select("id", F.explode(both).alias("k")).select("k.key", "id", "k.index").distinct()
+    return lines.select("id", F.explode(both).alias("k")).select("k.key", "id", "k.index")
 
 
 def shared(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of keys that several lines have, one of them indexed, with their number ``n``."""
-    count = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("index").alias("any"), F.min("id").alias("low"), F.max("id").alias("high"))
-    return materialise(rows.join(count.where("any AND low < high").select("key", "n"), "key"), name)
+    """Rows of keys that several lines have, one of them indexed, with their number ``n``.
+
+    One aggregation, combined before its shuffle, finds the keys; only rows that a bitmap
+    of these keys lets through are moved for the rest.
+    """
+    few = rows.groupBy("key").agg(F.max("index").alias("any"), F.min("id").alias("low"), F.max("id").alias("high"))
+    few = materialise(few.where("any AND low < high").select("key"), f"{name}-keys")
+    found = marked(rows, few, "key").distinct().join(few, "key")
+    found = materialise(found, f"{name}-rows")
+    return materialise(found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key"), name)
 
 
 def paired(rows: DataFrame) -> DataFrame:
@@ -146,16 +153,14 @@ def within(left: Column, right: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda a: a.dist) <= threshold
 
 
-def marked(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Lines whose id may be among ``ids``: a bitmap of fixed size goes to every task."""
-    h = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
-    bitmap = ids.groupBy(F.call_function("bitmap_bucket_number", h).alias("bucket")).agg(
-        F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", h)).alias("bits")
-    )
+def marked(rows: DataFrame, wanted: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose ``column`` may be among ``wanted``: a bitmap of fixed size goes to every task."""
+    h = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
     place = F.call_function("bitmap_bit_position", h)
+    bitmap = wanted.groupBy(F.call_function("bitmap_bucket_number", h).alias("bucket")).agg(F.call_function("bitmap_construct_agg", place).alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    d = lines.withColumn("bucket", F.call_function("bitmap_bucket_number", h))
+    d = rows.withColumn("bucket", F.call_function("bitmap_bucket_number", h))
     return d.join(F.broadcast(bitmap), "bucket").where(found).drop("bucket", "bits")  # MARKS bits
 
 
