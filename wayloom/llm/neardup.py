@@ -45,7 +45,7 @@ CELLS, FLAGS = 1 << 21, 1 << 24
 #: Longest prefix extension; cost of a verification in postings.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 #: Documents of an n-gram that are paired at once; more are compared to pivots.
-PAIRED = 24
+PAIRED = 8
 PIVOT_ROUNDS = 1
 
 
@@ -207,16 +207,18 @@ def _counts(met: DataFrame) -> DataFrame:
 def _candidates(counts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose matches reach both the multi-match count and the overlap still possible."""
 
-    def part(c: str):
-        n, matches = F.shiftright(c, 8), F.col(c).bitwiseAND(F.lit(255))
-        return n, matches, n - F.least(n, n - F.ceil(F.lit(percent) * n / 100) + matches)
-
-    (n1, m1, r1), (n2, m2, r2) = part("p"), part("q")
+    (n1, m1, r1), (n2, m2, r2) = _unpacked("p", percent), _unpacked("q", percent)
     # pairs that also share a crowded n-gram are decided there, so the count is complete here
     needed = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
     return counts.where((F.col("c") >= F.least(m1, m2)) & (F.col("c") + F.greatest(r1, r2) >= needed)).select("a", "b")
 
 
+def _unpacked(c: str, percent: int):
+    """Size, matches, and n-grams beyond the prefix of a set."""
+    n, matches = F.shiftright(c, 8), F.col(c).bitwiseAND(F.lit(255))
+    return n, matches, n - F.least(n, n - F.ceil(F.lit(percent) * n / 100) + matches)
+
+
 def _sets(d: DataFrame, ids: DataFrame, n: int) -> tuple[str, DataFrame]:
     """Name and rows (id, grams) of the documents ``ids``: a table in buckets by id, so that joins on id move no set.
 
@@ -289,6 +291,15 @@ def _open_pairs(candidates: DataFrame, comp: DataFrame, turn: int, every: bool)
     return one.select("a", F.col("one.b").alias("b"))
 
 
+def _mixed_pairs(counts: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs with common uncrowded n-grams that may be similar if they share crowded ones as well."""
+    for c in ("a", "b"):
+        counts = counts.join(size.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}")), c, "left")
+    (n1, _, r1), (n2, _, r2) = _unpacked("p", percent), _unpacked("q", percent)
+    reach = F.col("c") + F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0))) + F.greatest(r1, r2)
+    return counts.where(reach >= F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))).select("a", "b")
+
+
 def _state(hot: DataFrame, comp: DataFrame) -> DataFrame:
     state = hot.join(comp.withColumnRenamed("node", "id"), "id", "left")
     return state.withColumn("comp", F.coalesce("comp", "id"))
@@ -311,15 +322,18 @@ def _fits(percent: int):
 def _undecided(state: DataFrame, counts: DataFrame, percent: int, turns: list[int]) -> DataFrame:
     """All pairs of a crowded n-gram's documents that are in different classes and may be similar.
 
-    Two exact bounds thin them out.  Jaccard distance is a metric: distances to a common
-    pivot differ by no more than the distance of the two.  And their common prefix
-    n-grams, crowded and uncrowded, with what lies beyond the prefixes, must allow the
-    needed overlap.
+    Pairs that share uncrowded n-grams are among ``_mixed_pairs``, too, if those make the
+    difference.  Two exact bounds thin out the join.  Jaccard distance is a metric: distances to a common
+    pivot differ by no more than the distance of the two.  And the crowded n-grams of
+    either prefix (``h``, then their common ones), with what lies beyond the prefixes, must
+    allow the needed overlap.
     """
     mixed = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
     one = state.join(mixed, "gram", "left_semi")
     two = one.select("gram", *(F.col(c).alias(f"{c}2") for c in one.columns if c != "gram"))
+    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
     met = one.join(two, "gram").where("id < id2").where(_fits(percent))
+    met = met.where(F.least("h", "h2") + F.greatest("rest", "rest2") >= needed)
     for t in turns:
         apart = F.abs(F.col(f"far_{t}") - F.col(f"far_{t}2")) > 1 - percent / 100 + 1e-9
         met = met.where(~F.coalesce(apart, F.lit(False)))
@@ -365,8 +379,9 @@ def near_duplicates(
     links = tried = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
     length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + F.max("matches")).cast("long")
-    size = hot.groupBy("id", "n").agg((length - F.count("*")).alias("cold"), (F.col("n") - length).alias("rest"))
+    size = hot.groupBy("id", "n").agg(F.count("*").alias("h"), (length - F.count("*")).alias("cold"), (F.col("n") - length).alias("rest"))
     hot = materialise(hot.join(size, ["id", "n"]).drop("matches"), "crowded")
+    size = materialise(size.groupBy("id").agg(F.max("h").alias("h")), "crowded-sizes")
     turns = []
     for turn in range(PIVOT_ROUNDS + 1):
         state, pivots = _state(hot, comp), None
@@ -375,7 +390,8 @@ def near_duplicates(
             crowded = state.join(pivots, "gram").where(_fits(percent)).select(*_pair("id", "id2"))
         else:
             crowded = _undecided(state, counts, percent, turns)
-        pairs = _open_pairs(candidates, comp, turn, pivots is None).unionByName(crowded).distinct()
+        cold = candidates if pivots is not None else _mixed_pairs(counts, size, percent)
+        pairs = _open_pairs(cold, comp, turn, pivots is None).unionByName(crowded).distinct()
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue  # another pivot may still meet another class
