@@ -301,6 +301,13 @@ def test_dedup_removes_later_places_of_common_lines(spark):
     assert lines.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_short_lines_take_part_in_the_pipeline(spark):
+    rows = [(k, f"own text {k}\n All rights reserved.\t\n\nx{k}", "en", "web", 9) for k in range(9)]
+    lined = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), SF)
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert got == {0: rows[0][1]} | {k: f"own text {k}\n\nx{k}" for k in range(1, 9)}
+
+
 # --- 4: WARC --------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ or linked by one edit (insertion, deletion, substitution), directly or over othe
 
 Line identity is a 64-bit hash of the trimmed line.  Defined results: null texts have no
 lines; rows with a null id keep their lines and count as one document; repeated rows are
-documents of their own only if their ids differ; shorter lines are never removed; extra
+documents of their own only if their ids differ; lines below ``min_chars`` are never removed; extra
 columns pass through ``dedup_lines``; an empty table gives an empty result.
 """
 
@@ -39,11 +39,11 @@ MARKS = 1 << 24
 BLANK = " \t\x0b\x0c\r"
 
 
-def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_of(documents: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, pos, line, size, id) of the lines that take part."""
     d = documents.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
     d = d.withColumn("line", F.btrim("line", F.lit(BLANK))).withColumn("size", F.length("line"))
-    return d.where(F.col("size") >= MIN_CHARS).withColumn("id", F.xxhash64("line"))
+    return d.where(F.col("size") >= min_chars).withColumn("id", F.xxhash64("line"))
 
 
 def let(value: Column, body) -> Column:
@@ -189,10 +189,13 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return components(materialise(links, "line-links")).select(F.col("node").alias("id"), F.col("comp").alias("class"))
 
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, pos, id, class, n_docs, first_doc, first_pos): places of classes in two documents or more."""
-    lines = lines_of(documents, id_col, text_col)
-    classes = line_classes(lines)
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, pos, id, class, n_docs, first_doc, first_pos): places of classes in two documents or more.
+
+    Lines of ``min_chars`` up to MIN_CHARS characters are one class if they are equal.
+    """
+    lines = lines_of(documents, id_col, text_col, min_chars)
+    classes = line_classes(lines.where(F.col("size") >= MIN_CHARS))
     places = lines.select("doc", "pos", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     by_doc = places.groupBy("class", "doc").agg(F.min("pos").alias("pos"))
     spread = by_doc.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"))
@@ -206,15 +209,15 @@ def removed_lines(repeats: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     return repeats.where((F.col("n_docs") > most_docs) & ~first)
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the removed lines; a document that loses all its words goes."""
-    gone = removed_lines(repeated_lines(documents, id_col, text_col), most_docs)
-    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    gone = removed_lines(repeated_lines(documents, id_col, text_col, min_chars), most_docs)
+    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
     gone = materialise(gone, "line-gone")
     d = documents.select(F.struct(*documents.columns).alias("row"))  # no name of the input can clash
     d = d.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
     old = F.col(f"row.{text_col}")
-    kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), F.struct(i.alias("pos"), F.xxhash64(F.btrim(x, F.lit(BLANK))).alias("id"))))
     text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
     d = d.withColumn("text", text).where(F.col("gone").isNull() | (F.btrim("text", F.lit(BLANK + "\n")) != ""))
     return d.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in documents.columns))
