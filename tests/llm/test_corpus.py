@@ -308,6 +308,14 @@ def test_short_lines_take_part_in_the_pipeline(spark):
     assert got == {0: rows[0][1]} | {k: f"own text {k}\n\nx{k}" for k in range(1, 9)}
 
 
+def test_lines_of_few_documents_are_deduplicated_in_the_pipeline(spark):
+    passage = "a passage that only two of the documents have in common " * 6
+    rows = [(k, f"own text {k}\n{passage if k in (3, 7) else f'nothing {k}'}", "en", "web", 9) for k in range(9)]
+    lined = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), SF)
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert got == {r[0]: r[1] for r in rows} | {7: "own text 7"}
+
+
 # --- 4: WARC --------------------------------------------------------------------------
 
 
