@@ -316,6 +316,14 @@ def test_lines_of_few_documents_are_deduplicated_in_the_pipeline(spark):
     assert got == {r[0]: r[1] for r in rows} | {7: "own text 7"}
 
 
+def test_lines_repeated_within_a_document_are_deduplicated_in_the_pipeline(spark):
+    again = "This line stands three times in one document and in no other one."
+    rows = [(1, f"{again}\nown\n{again}\nyes\n\n{again} \nyes\n", "en", "web", 9), (2, "other", "en", "web", 9), (2, "other\nyes", "en", "web", 9)]
+    lined = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), SF)
+    got = sorted((r.doc_id, r.text) for r in lined.collect())
+    assert got == [(1, f"{again}\nown\nyes\n\n"), (2, "other"), (2, "other")]
+
+
 # --- 4: WARC --------------------------------------------------------------------------
 
 

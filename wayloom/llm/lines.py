@@ -189,17 +189,18 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return components(materialise(links, "line-links")).select(F.col("node").alias("id"), F.col("comp").alias("class"))
 
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
     """(doc, pos, id, class, n_docs, first_doc, first_pos): places of classes in two documents or more.
 
     Lines of ``min_chars`` up to MIN_CHARS characters are one class if they are equal.
+    ``inside`` adds the classes that have two places or more in one document only.
     """
     lines = lines_of(documents, id_col, text_col, min_chars)
     classes = line_classes(lines.where(F.col("size") >= MIN_CHARS))
     places = lines.select("doc", "pos", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    by_doc = places.groupBy("class", "doc").agg(F.min("pos").alias("pos"))
-    spread = by_doc.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"))
-    spread = spread.where("n_docs > 1").select("class", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    by_doc = places.groupBy("class", "doc").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    spread = by_doc.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"), F.max(F.col("pos") < F.col("last")).alias("again"))
+    spread = spread.where("n_docs > 1 OR again" if inside else "n_docs > 1").select("class", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     return places.join(spread, "class")
 
 
@@ -209,9 +210,9 @@ def removed_lines(repeats: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     return repeats.where((F.col("n_docs") > most_docs) & ~first)
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS, min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
     """The documents without the removed lines; a document that loses all its words goes."""
-    gone = removed_lines(repeated_lines(documents, id_col, text_col, min_chars), most_docs)
+    gone = removed_lines(repeated_lines(documents, id_col, text_col, min_chars, inside), most_docs)
     gone = gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
     gone = materialise(gone, "line-gone")
     d = documents.select(F.struct(*documents.columns).alias("row"))  # no name of the input can clash
