@@ -520,6 +520,24 @@ def test_url_rules_and_model(spark):
     assert urls.filter_urls(d.limit(0)).count() == 0
 
 
+def test_url_results_do_not_depend_on_what_goes_to_every_task(spark, monkeypatch):
+    rows = [f"http://{h}.net/{p}{k}/{p}" for k in range(6) for h, p in (("cheap-pills", "offer"), ("cheappills", "slug"), ("dailynews", "daily"), ("news-daily", "paper"), (f"oddhost{k}", "slug"))]
+    rows += ["http://cheap.net/pills", "http://pills.net/", "http://antidisestablishmentarianisms-x.com/", "http://myantidisestablishmentarianisms.com/"]
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+
+    def run(words, names):
+        monkeypatch.setattr(urls, "VOCABULARY", words)
+        monkeypatch.setattr(urls, "TOKENS", names)
+        return {r.page_id: r for r in urls.filter_urls(d, html_col=None).collect()}
+
+    whole = run(50_000, 100_000)
+    assert whole[len(rows) - 1].words == "my antidisestablishmentarianisms"
+    for words, names in ((50_000, 3), (2, 100_000), (1, 1)):
+        got = run(words, names)
+        for k, r in whole.items():
+            assert (got[k].words, got[k].verdict) == (r.words, r.verdict) and got[k].score == pytest.approx(r.score)
+
+
 def test_segmenter_equals_brute_force():
     counts = {"cheap": 5, "pills": 3, "ch": 2, "eap": 1, "p": 9, "ills": 2, "a": 4}
     s = urls.Segmenter(counts)

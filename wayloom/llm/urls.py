@@ -5,8 +5,10 @@ with its own, and the longest wins.  For all other urls, the host's labels are s
 words by a unigram Viterbi search, and a multinomial naive Bayes model scores those words
 with the path's tokens.
 
-The dictionary is counted over the paths, hyphenated host labels and titles of all pages; the model keeps its
-VOCABULARY most frequent words (a documented bound).  Naive Bayes learns over all pages:
+The dictionary is counted over the paths, hyphenated host labels and titles of all pages.  Its VOCABULARY most
+frequent words go to every task; rarer ones stay in a table and join the hosts that have them.  The TOKENS most
+frequent tokens of the model go to every task, the rest joins by token.  So both numbers bound memory, not results.
+Naive Bayes learns over all pages:
 hosts whose words include a known spam word are examples of block, urls that an allow rule
 or no rule fits are examples of allow (block rules state a policy about places, not about
 words, and teach nothing).
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ship, table
+from .common import ascii_lower, materialise, ship, table
 
-#: Words of the dictionary, and tokens of the model, at most.
+#: Words of the dictionary, and tokens of the model, that go to every task.
 VOCABULARY, TOKENS = 50_000, 100_000
+#: Letters of an unknown word.
 LONGEST_WORD = 24
 #: Fixed by the contract of the query: rule and verdict.
 RULES = (
@@ -70,19 +73,24 @@ WORD = re.compile(r"[^\W\d_]+")
 class Segmenter:
     """Unigram Viterbi: the most probable split; an unknown word costs tenfold a letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int = 0):
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.longest = max([LONGEST_WORD, longest, *map(len, counts)])
         self.split = lru_cache(100_000)(self._split)
 
-    def cost(self, word: str) -> float:
+    def cost(self, word: str, rare: tuple[tuple[str, int], ...] = ()) -> float:
         known = self.log.get(word)
-        return known if known is not None else math.log(10 / self.total) - len(word) * math.log(10)
+        if known is None and rare:
+            known = next((math.log(n / self.total) for w, n in rare if w == word), None)
+        if known is not None:
+            return known
+        return math.log(10 / self.total) - len(word) * math.log(10) if len(word) <= LONGEST_WORD else -math.inf
 
-    def _split(self, text: str) -> tuple[str, ...]:
+    def _split(self, text: str, rare: tuple[tuple[str, int], ...] = ()) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for i in range(1, len(text) + 1):
-            score, j = max((best[j] + self.cost(text[j:i]), j) for j in range(max(0, i - LONGEST_WORD), i))
+            score, j = max((best[j] + self.cost(text[j:i], rare), j) for j in range(max(0, i - self.longest), i))
             best.append(score)
             back.append(j)
         words, i = [], len(text)
@@ -92,40 +100,63 @@ class Segmenter:
         return tuple(reversed(words))
 
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], list[str]]:
+def tokens(host: str, path: str, segmenter: Segmenter, rare: tuple[tuple[str, int], ...] = ()) -> tuple[list[str], list[str]]:
     """Words of the host (its last label whole), and all tokens with their place."""
     *names, top = host.split(".")
-    words = [w for name in names for part in WORD.findall(name) for w in segmenter.split(part)]
+    words = [w for name in names for part in WORD.findall(name) for w in segmenter.split(part, rare)]
     inner = [f"p:{t}" if not t.isdigit() else f"p:{'0' * min(len(t), 4)}" for t in re.findall(r"[^\W_]+", path.lower())]
     return words, [f"h:{w}" for w in words] + [f"t:{top}"] + inner
 
 
-def count_words(pages: DataFrame, url_col: str, html_col: str | None) -> dict[str, int]:
-    """Unigram counts over hyphenated host labels, paths and titles of all pages; the most frequent VOCABULARY."""
+def count_words(pages: DataFrame, url_col: str, html_col: str | None) -> DataFrame:
+    """(word, n): unigram counts over hyphenated host labels, paths and titles of all pages."""
     host, path = url_parts(F.col(url_col).cast("string"))
     parted = F.filter(F.split(host, r"\."), lambda x: x.contains("-"))  # other labels may be words run together
     text = F.concat_ws(" ", F.array_join(parted, " "), F.lower(path))
     if html_col is not None:
         text = F.concat_ws(" ", text, F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word <> '' AND length(word) <= 24")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    return {r.word: r.n for r in top.collect()}
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def head_and_tail(counts: DataFrame, name: str, most: int) -> tuple[list, DataFrame | None]:
+    """The ``most`` most frequent rows of (name, n), and the table of all others, if there are any."""
+    head = counts.orderBy(F.desc("n"), name).limit(most + 1).collect()
+    if len(head) <= most:
+        return head, None
+    n, last = head[most - 1]["n"], F.lit(head[most - 1][name])
+    return head[:most], counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col(name) > last)))
+
+
+def rare_words(hosts: DataFrame, tail: DataFrame, longest: int) -> DataFrame:
+    """(host, rare): the words of ``tail`` that parts of a host's labels contain, with their counts."""
+    labels = F.split("host", r"\.")
+    names = F.concat_ws(".", F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))))
+    part = hosts.select("host").distinct().select("host", F.explode(F.split(names, r"[^\p{L}]+")).alias("part")).where("part <> ''").distinct()
+    size = F.length("part")
+    piece = part.select("part").distinct().withColumn("at", F.explode(F.sequence(F.lit(1), size)))
+    piece = piece.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(size - F.col("at") + 1, F.lit(longest)))))
+    piece = piece.select("part", F.col("part").substr(F.col("at"), F.col("size")).alias("word")).distinct()
+    found = part.join(piece.join(tail, "word"), "part").select("host", "word", "n").distinct()
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("rare"))
 
 
 class Bayes:
     """Multinomial naive Bayes with add-one smoothing; log odds of block."""
 
-    def __init__(self, counts: dict[tuple[str, str], int], pages: dict[str, int]):
-        names = {t for _, t in counts}
-        total = {v: sum(n for (w, _), n in counts.items() if w == v) for v in ("block", "allow")}
-        size = len(names) + 1
-        self.ready = all(pages.get(v) for v in total)
+    def __init__(self, counts: dict[str, tuple[int, int]], total: tuple[int, int], names: int, pages: tuple[int, int]):
+        """Counts of tokens, of all tokens and of pages as (block, allow); ``names`` is the number of all tokens."""
+        self.total, self.size = total, names + 1
+        self.ready = all(pages)
         if self.ready:
-            self.prior = math.log(pages["block"] / pages["allow"])
-            self.weight = {t: math.log((counts.get(("block", t), 0) + 1) / (total["block"] + size)) - math.log((counts.get(("allow", t), 0) + 1) / (total["allow"] + size)) for t in names}
+            self.prior = math.log(pages[0] / pages[1])
+            self.weights = {t: self.weight(*c) for t, c in counts.items()}
+
+    def weight(self, block: int, allow: int) -> float:
+        return math.log((block + 1) / (self.total[0] + self.size)) - math.log((allow + 1) / (self.total[1] + self.size))
 
     def score(self, found: list[str]) -> float:
-        return self.prior + sum(self.weight.get(t, 0.0) for t in found) if self.ready else -1.0
+        return self.prior + sum(self.weights.get(t, 0.0) for t in found) if self.ready else -1.0
 
 
 def filter_urls(
@@ -138,14 +169,22 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score, words): score is the log odds of block."""
     spark = pages.sparkSession
-    segmenter = ship(spark, count_words(pages, url_col, html_col))  # VOCABULARY words at most
+    dictionary = materialise(count_words(pages, url_col, html_col), "url-words")
+    n_words, longest = dictionary.agg(F.sum("n"), F.max(F.length("word"))).first()
+    head, tail = head_and_tail(dictionary, "word", VOCABULARY)
+    segmenter = ship(spark, ({r.word: r.n for r in head}, n_words or 0, longest or 0))  # VOCABULARY words at most
     host, path = url_parts(F.col(url_col).cast("string"))
     d = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     d = d.withColumn("fit", rule_column(F.col("host"), F.col("path"), rules))
     d = d.select("id", "host", "path", "fit.rule", "fit.verdict")
+    none = F.array().cast("array<struct<word:string,n:bigint>>")
+    d = d.withColumn("rare", none) if tail is None else d.join(rare_words(d, tail, longest), "host", "left").select("id", "host", "path", "rule", "verdict", F.coalesce("rare", none).alias("rare"))
+
+    def rare(column):
+        return [tuple((w["word"], w["n"]) for w in row) for row in column.to_pylist()]
 
     def learn(batches):
-        split = Segmenter(segmenter.value)
+        split = Segmenter(*segmenter.value)
         counts: dict[tuple[str, str], int] = {}
 
         def out():
@@ -153,8 +192,8 @@ def filter_urls(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["verdict", "token", "n"])
 
         for b in batches:
-            for h, p, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, found = tokens(h, p, split)
+            for h, p, v, r in zip(*(c.to_pylist() for c in b.columns[:3]), rare(b.column(3)), strict=True):
+                words, found = tokens(h, p, split, r)
                 v = "block" if spam_words.intersection(words) else None if v == "block" else "allow"
                 if v is not None:
                     for t in ("", *found):  # the empty token counts pages
@@ -165,28 +204,39 @@ def filter_urls(
         if counts:
             yield out()
 
-    learned = d.select("host", "path", "verdict").mapInArrow(learn, "verdict string, token string, n long")
-    learned = learned.groupBy("verdict", "token").agg(F.sum("n").alias("n"))
-    top = learned.orderBy(F.col("token") != "", F.desc("n"), "token", "verdict").limit(TOKENS).collect()
-    model = ship(
-        spark,
-        Bayes({(r.verdict, r.token): r.n for r in top if r.token}, {r.verdict: r.n for r in top if not r.token}),
-    )  # TOKENS weights at most
+    learned = d.select("host", "path", "verdict", "rare").mapInArrow(learn, "verdict string, token string, n long")
+    of = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")]
+    learned = materialise(learned.groupBy("token").agg(*of, F.sum("n").alias("n")), "url-tokens")
+    seen = {r.own: r for r in learned.groupBy((F.col("token") != "").alias("own")).agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("names")).collect()}
+    total, names = ((seen[True].block, seen[True].allow), seen[True].names) if True in seen else ((0, 0), 0)
+    head, tail = head_and_tail(learned.where("token <> ''"), "token", TOKENS)
+    bayes = Bayes({r.token: (r.block, r.allow) for r in head}, total, names, (seen[False].block, seen[False].allow) if False in seen else (0, 0))
+    model = ship(spark, bayes)  # TOKENS weights at most
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, host string, path string, rule string, verdict string, score double, words string"
+    schema = f"id {kind}, host string, path string, rule string, verdict string, score double, words string, others array<string>"
 
     def judge(batches):
-        split = Segmenter(segmenter.value)
+        split = Segmenter(*segmenter.value)
+        known = model.value.weights if tail_known else None
         for b in batches:
-            found = [tokens(h, p, split) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            found = [tokens(h, p, split, r) for h, p, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), rare(b.column(5)), strict=True)]
             score = [model.value.score(t) for _, t in found]
-            verdict = [v or ("block" if x > 0 else "allow") for v, x in zip(b.column(4).to_pylist(), score, strict=True)]
+            others = [[t for t in ts if t not in known] if known is not None else [] for _, ts in found]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array(verdict, pa.string()), pa.array(score, pa.float64()), pa.array([" ".join(w) for w, _ in found], pa.string())],
-                names=["id", "host", "path", "rule", "verdict", "score", "words"],
+                [*b.columns[:5], pa.array(score, pa.float64()), pa.array([" ".join(w) for w, _ in found], pa.string()), pa.array(others, pa.list_(pa.string()))],
+                names=["id", "host", "path", "rule", "verdict", "score", "words", "others"],
             )
 
-    return d.mapInArrow(judge, schema).withColumnRenamed("id", id_col)
+    tail_known = tail is not None and bayes.ready
+    judged = d.mapInArrow(judge, schema)
+    if tail_known:
+        judged = materialise(judged.withColumn("row", F.monotonically_increasing_id()), "url-judged")
+        logs = [F.log((F.col(v) + 1) / F.lit(total[k] + names + 1)) for k, v in enumerate(("block", "allow"))]
+        more = judged.select("row", F.explode("others").alias("token")).join(tail.select("token", (logs[0] - logs[1]).alias("w")), "token")
+        more = more.groupBy("row").agg(F.aggregate(F.sort_array(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w).alias("more"))
+        judged = judged.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", "words")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
