@@ -137,6 +137,15 @@ def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.find_contamination(d.limit(0), bench).count() == 0
 
 
+def test_repeated_item_ids_count_once_in_any_number_of_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (7, "c d e"), (8, "b c d")], "item_id long, text string")
+    d = docs(spark, ["x a b c d e y", "a b c a b c", "nothing"])
+    for chars in (32 << 20, 4):  # one block, several blocks
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_contamination(d, bench, window=3).collect()}
+        assert got == {0: (5, ["7", "8"]), 1: (6, ["7"]), 2: (0, [])}
+
+
 def test_decontamination_query_equals_brute_force(spark):
     got = {r.doc_id: r for r in queries()["op3_decontaminate"](spark, SF).collect()}
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]

@@ -13,7 +13,7 @@ The phrases are broadcast in blocks of at most BLOCK_CHARS characters; several b
 several passes whose spans are merged by document row.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; items
-without words or id are no phrases; repeated items each count; repeated documents give
+without words or id are no phrases; a repeated item id counts once; repeated documents give
 repeated rows; other columns are not carried; empty tables give empty results.
 """
 
@@ -258,7 +258,7 @@ class Shard:
                         items[k] = set()
                     items[k].update(p.owner[p.owner_start[w] : p.owner_start[w + 1]].tolist())
                 for k in np.unique(doc):
-                    items[k] = sorted(p.items[i] for i in items[k])
+                    items[k] = sorted({p.items[i] for i in items[k]})
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays(self.ids),
