@@ -198,3 +198,12 @@ def test_scans_are_pruned_and_joins_are_equi_joins(spark, tmp_path):
     d = sp.vertices_in_boxes(spark.createDataFrame([(0, 0.0, 1.0, 0.0, 1.0)], "box_id long, x_min double, x_max double, y_min double, y_max double"), vv)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_matching_queries_run_on_every_point(spark):
+    from wayloom.plans import fixtures, iterative
+
+    d = "/root/testdata/sf0.001"
+    lines, points = iterative.short_lines(spark, d), fixtures.points(spark, d)
+    assert lines.select("traj_id", "pos").exceptAll(points.select("traj_id", "pos")).isEmpty() and lines.count() == points.count()
+    assert lines.where("x < 0 OR y < 0 OR x > 2000 OR y > 2000").isEmpty()

@@ -67,9 +67,10 @@ def max_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def short_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Smoothed pieces of the walks: thirty trajectories of six points that a network can follow."""
-    p = fx.points(spark, d).where("cast(traj_id AS long) < 30 AND pos < 6")
-    return p.select("traj_id", "pos", (F.col("x") * 0.1 + F.col("pos") * 120 + 200).alias("x"), (F.col("y") * 0.1 + F.col("pos") * 80 + 200).alias("y"), (F.col("pos") * 60.0).alias("t"))
+    """All walks, smoothed, going to and fro by six steps so that the network can follow them."""
+    p = fx.points(spark, d)
+    step = F.abs((F.col("pos") + 6) % 12 - 6)
+    return p.select("traj_id", "pos", (F.col("x") * 0.1 + step * 120 + 200).alias("x"), (F.col("y") * 0.1 + step * 80 + 200).alias("y"), (F.col("pos") * 60.0).alias("t"))
 
 
 @query("map_match")
