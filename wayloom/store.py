@@ -44,6 +44,11 @@ class Shipped:
             self.held = cloudpickle.loads(self.data.value)
         return self.held
 
+    def unship(self) -> None:
+        """Give the memory back once every job that uses the object has ended."""
+        self.data.unpersist(blocking=False)
+        self.held = None
+
 
 def ship(spark: SparkSession, value) -> Shipped:
     """Broadcast ``value``; its size must be bounded, as that of any broadcast."""
