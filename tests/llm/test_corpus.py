@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayloom.llm import bpe, chat, decontaminate, licenses, lines, neardup, quality, rules, urls, warc
+from wayloom.llm import common, bpe, chat, decontaminate, licenses, lines, neardup, quality, rules, urls, warc
 from wayloom.llm.common import string_chunks, table
 from wayloom.llm.queries import oracle_sql, queries
 
@@ -195,7 +195,8 @@ def family(rng, size, words, changes, voc):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, paired):
     """Small families, a large one whose n-grams are crowded, and a passage that many share."""
     monkeypatch.setattr(neardup, "PAIRED", paired)
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", 1 + seed)
+    monkeypatch.setattr(neardup, "HELD_PAIRS", 50 + 10**6 * seed)
+    monkeypatch.setattr(common, "MARKS", 1 << (8 + 10 * seed))  # nearly everything is marked, or little
     rng = random.Random(seed)
     voc = [f"v{k}" for k in range(400)]
     texts = family(rng, 60, 60, 8, voc)

@@ -7,9 +7,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Pieces of an array, and first-level groups of each piece.
-BLOCKS, GROUPS = 64, 32
+from .common import WRITING, settings
+
+#: Pieces of an array, and pieces that one merge takes.
+BLOCKS, FAN_IN = 64, 32
 
 SCHEMA = "block int, part int, cells binary"
 
@@ -17,7 +20,7 @@ SCHEMA = "block int, part int, cells binary"
 def packed(cells: np.ndarray, part: int):
     """The array as rows, one for each block that is not all zero."""
     step = len(cells) // BLOCKS
-    rows = [(k, part % GROUPS, zlib.compress(c.tobytes(), 1)) for k in range(BLOCKS) if (c := cells[k * step : (k + 1) * step]).any()]
+    rows = [(k, part, zlib.compress(c.tobytes(), 1)) for k in range(BLOCKS) if (c := cells[k * step : (k + 1) * step]).any()]
     if rows:
         block, group, data = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
@@ -26,7 +29,7 @@ def packed(cells: np.ndarray, part: int):
 
 
 def gathered(rows: DataFrame, size: int, dtype: type, how: str) -> np.ndarray:
-    """Merge ``packed`` rows (``how``: sum or or) in two levels; the array has a fixed size."""
+    """Merge ``packed`` rows (``how``: sum or or) in a tree of FAN_IN pieces a node; the array has a fixed size."""
     step = size // BLOCKS
 
     def merge(table: pa.Table) -> pa.Table:
@@ -37,9 +40,16 @@ def gathered(rows: DataFrame, size: int, dtype: type, how: str) -> np.ndarray:
         first = table.slice(0, 1)
         return pa.table({"block": first.column("block"), "part": first.column("part"), "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    once = rows.groupBy("block", "part").applyInArrow(merge, SCHEMA)
+    parts = rows.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN_IN)
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(merge, SCHEMA)
+        if parts <= 1:
+            break
     out = np.zeros(size, dtype)
-    for r in once.groupBy("block").applyInArrow(merge, SCHEMA).collect():
+    with settings(rows.sparkSession, WRITING):
+        got = rows.collect()  # BLOCKS rows
+    for r in got:
         out[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(r.cells), dtype)
     return out
 

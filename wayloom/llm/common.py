@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,29 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Held while a table is written: shuffle files go when their job has ended, and a batch
+#: that Python gets is bounded by bytes, however long the texts are.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage)."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,6 +56,27 @@ def drop_table_files(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the map that says which rows may be wanted (a word of 64 bits a broadcast row, 1 M rows at most).
+MARKS = 1 << 26
+
+
+def marked(rows: DataFrame, wanted: DataFrame, columns: list[str], others: bool = False) -> DataFrame:
+    """Rows whose ``columns`` may be among ``wanted``; ``others``: the rest, which surely are not.
+
+    A map of at most MARKS bits goes to every task.  Rows of equal hash pass as well, and with
+    very many wanted keys all rows do, so a join with ``wanted`` decides.
+    """
+
+    def place(d: DataFrame) -> DataFrame:
+        h = F.pmod(F.xxhash64(*columns), F.lit(MARKS))
+        return d.withColumns({"mark_word": F.shiftright(h, 6), "mark_bit": F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))})
+
+    bits = place(wanted.select(*columns)).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits"))
+    d = place(rows).join(F.broadcast(bits), "mark_word", "left" if others else "inner")  # MARKS bits
+    hit = F.col("mark_bits").bitwiseAND(F.col("mark_bit")) != 0
+    return d.where(~F.coalesce(hit, F.lit(False)) if others else hit).select(*rows.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table_files, materialise
 
 PLAIN = 3
 
@@ -30,7 +30,9 @@ def components(links: DataFrame) -> DataFrame:
             jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
             step = step.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp"))
         step = materialise(step, "labels")
+        drop_table_files(labels)
         changed = step.where("old <> comp").limit(1).count()
         labels = step.select("node", "comp")
         if not changed:
+            drop_table_files(both)
             return labels

@@ -11,42 +11,45 @@
 4. Documents meet by prefix n-gram.  Matches are counted for each pair; a pair goes on if
    the count reaches l and, with all that may lie beyond the prefixes, the needed overlap.
 5. An n-gram that many documents have in their prefix does not emit all pairs.  Its
-   documents are compared to a pivot, once a round and with another pivot each round, and
-   only as long as they are in different classes; likewise each document tries one of its
-   candidates a round.  What then is still undecided is verified in full.  So no link
-   between different classes is lost.
-6. Candidates are verified by exact intersection of whole sets, which lie in buckets by
-   id, and the links become classes by label propagation.
+   documents are compared to a pivot; what then is in another class than most of the
+   n-gram's documents meets the others, but only where a run of shared crowded n-grams
+   begins or ends, which suffices to count them.  Pairs pass two exact bounds (the metric to
+   common pivots, and the overlap that all prefix matches still allow) and are verified in
+   full.  So no link between different classes is lost.
+6. Candidates are verified by exact intersection of the whole n-gram sets of their texts;
+   only texts of candidates move.  The links become classes by label propagation.
 
 Defined results: a null or empty text has no set and is linked with nothing; a text of
 fewer words than n has its whole sequence as one n-gram; equal texts are always linked;
-rows with a null id are classed by themselves (null); rows that repeat an id are returned
+ids are integers (others raise); rows with a null id are classed by themselves (null); rows that repeat an id are returned
 as often; other columns are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .cells import SCHEMA as CELL_ROWS
 from .cells import gathered, packed, partition_number
-from .common import drop_table_files, fresh_dir, materialise, mix, ship, space_separated, string_chunks, table, words_of
+from .common import drop_table_files, marked, materialise, mix, ship, space_separated, string_chunks, table, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: Cells of the count array, and of the flags that mark documents to be read again.
-CELLS, FLAGS = 1 << 21, 1 << 24
+#: Cells of the count array.
+CELLS = 1 << 21
 #: Longest prefix extension; cost of a verification in postings.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
-#: Documents of an n-gram that are paired at once; more are compared to pivots.
+#: Documents of an n-gram that are paired at once; more are compared to a pivot.
 PAIRED = 8
-PIVOT_ROUNDS = 1
+#: Pairs that a task gathers before it counts them; sets that it keeps while verifying.
+HELD_PAIRS, HELD_SETS = 1 << 20, 64
 
 
 def ngram_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -129,14 +132,15 @@ def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
     return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, matches int")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(gram, id, n, matches): the prefixes, one n-gram a row."""
+def _postings(sets: DataFrame, crowded: bool) -> DataFrame:
+    """(gram, id, n, matches): the prefixes, one n-gram a row; of crowded n-grams, or of the others."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             keys = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            keys = [k[(k >> 56 > 0) == crowded] for k in keys]
             size = np.array([len(k) for k in keys])
             rest = [np.repeat(c.to_numpy(), size) for c in (b.column(0), b.column(1), b.column(3))]
             yield pa.RecordBatch.from_arrays(
@@ -147,57 +151,70 @@ def _postings(sets: DataFrame) -> DataFrame:
     return sets.select("id", "n", "prefix", "matches").mapInArrow(run, "gram long, id long, n int, matches int")
 
 
+def _counted(found: list) -> tuple:
+    """Pairs with the number of their common n-grams, from (a, b, p, q) columns."""
+    a, b, p, q = np.concatenate(found, axis=1)
+    order = np.lexsort((b, a))
+    a, b, p, q = a[order], b[order], p[order], q[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.diff(np.append(first, len(a))), p[first], q[first]
+
+
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (kind 0: ids, common n-grams, sizes with matches) and crowded postings (kind 1: gram, id, n, matches)."""
+    """Pairs (kind 0: ids, common n-grams, sizes with matches) and crowded postings (kind 1: gram, id, n, matches).
+
+    The postings come sorted by n-gram, so a task holds one n-gram that is still open,
+    of at most PAIRED rows, and a bounded number of pairs.
+    """
+
+    def rows(kind, *columns):
+        for i in range(0, len(columns[0]), 50_000):
+            part = [pa.array(v[i : i + 50_000]) for v in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "x", "y", "c", "p", "q"])
 
     def run(batches):
-        cols = [[], [], [], []]
-        for b in batches:
-            for c, x in zip(cols, b.columns, strict=True):
-                c.append(x.to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        gram, doc, n, matches = (np.concatenate(c).astype(np.int64) for c in cols)
-        by = np.lexsort((doc, gram))
-        gram, doc, n, matches = gram[by], doc[by], n[by], matches[by]
-        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        size = np.diff(np.append(starts, len(gram)))
-        run_size = np.repeat(size, size)
-        crowd = run_size > PAIRED
-        some = (run_size > 1) & ~crowd
-        out = []
-        if crowd.any():
-            none = np.zeros(crowd.sum(), np.int64)
-            out.append((np.ones(len(none), np.int32), gram[crowd], doc[crowd], n[crowd], matches[crowd], none))
-        gram, doc, n, matches = gram[some], doc[some], n[some], matches[some]
-        found = []
-        at = np.arange(len(gram))
-        for step in range(1, PAIRED):
-            at = at[at + step < len(gram)]
-            at = at[gram[at] == gram[at + step]]
-            if not len(at):
-                break
-            a, b = at, at + step
-            ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (doc[a] != doc[b])
-            found.append(np.stack([a[ok], b[ok]]))  # rows are sorted by id within an n-gram
-        if found:
-            a, b = np.concatenate(found, axis=1)
-            if len(a):
-                order = np.lexsort((doc[b], doc[a]))
-                a, b = a[order], b[order]
-                new = np.concatenate([[True], (doc[a][1:] != doc[a][:-1]) | (doc[b][1:] != doc[b][:-1])])
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(a)))
-                a, b = a[first], b[first]
-                out.append((np.zeros(len(a), np.int32), doc[a], doc[b], count, n[a] << 8 | matches[a], n[b] << 8 | matches[b]))
-        for kind, x, y, c, p, q in out:
-            for i in range(0, len(x), 100_000):
-                s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(v[s]) for v in (kind, x, y, c, p, q)], names=["kind", "x", "y", "c", "p", "q"])
+        held, found, many, crowded = [np.zeros(0, np.int64)] * 4, [], 0, None
+        for b in _then_none(batches):
+            gram, doc, n, matches = held if b is None else (np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True))
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            size = np.diff(np.append(starts, len(gram)))
+            crowd = np.repeat(size > PAIRED, size) | (gram == crowded if crowded is not None else False)
+            whole = len(gram) if b is None or crowd[-1] else starts[-1]  # the last n-gram may go on
+            crowded = gram[-1] if crowd[-1] else None
+            held = [v[whole:] for v in (gram, doc, n, matches)]
+            crowd, gram, doc, n, matches = (v[:whole] for v in (crowd, gram, doc, n, matches))
+            if crowd.any():
+                yield from rows(1, gram[crowd], doc[crowd], n[crowd], matches[crowd], np.zeros(crowd.sum(), np.int64))
+            gram, doc, n, matches = (v[~crowd] for v in (gram, doc, n, matches))
+            at = np.arange(len(gram))
+            for step in range(1, PAIRED):
+                at = at[at + step < len(gram)]
+                at = at[gram[at] == gram[at + step]]
+                if not len(at):
+                    break
+                x, y = at, at + step
+                swap = doc[x] > doc[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (doc[x] != doc[y])
+                x, y = x[ok], y[ok]
+                found.append(np.stack([doc[x], doc[y], n[x] << 8 | matches[x], n[y] << 8 | matches[y]]))
+                many += len(x)
+            if many > HELD_PAIRS:
+                yield from rows(0, *_counted(found))
+                found, many = [], 0
+        if many:
+            yield from rows(0, *_counted(found))
 
     return postings.mapInArrow(run, "kind int, x long, y long, c long, p long, q long")
 
 
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def _counts(met: DataFrame) -> DataFrame:
     """(a, b, c, p, q): the common uncrowded prefix n-grams of each pair that has any."""
     d = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -219,57 +236,43 @@ def _unpacked(c: str, percent: int):
     return n, matches, n - F.least(n, n - F.ceil(F.lit(percent) * n / 100) + matches)
 
 
-def _sets(d: DataFrame, ids: DataFrame, n: int) -> tuple[str, DataFrame]:
-    """Name and rows (id, grams) of the documents ``ids``: a table in buckets by id, so that joins on id move no set.
-
-    The texts of other documents are passed over by flags of fixed size (a few extra
-    documents may slip in, none is missing).
-    """
-    spark = d.sparkSession
+def _verified(pairs: DataFrame, d: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, link, far): whether the whole sets are similar, and their Jaccard distance."""
 
-    def mark(batches):
-        flags = np.zeros(FLAGS // 8, np.uint8)
+    def packed_texts(batches):
         for b in batches:
-            at = (mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)
-            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield from packed(flags, partition_number())
-
-    flags = ship(spark, gathered(ids.mapInArrow(mark, CELL_ROWS), FLAGS // 8, np.uint8, "or"))
-
-    def read(batches):
-        for b in batches:
-            at = (mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)
-            want = flags.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            b = b.filter(pa.array(want))
-            for i, data, off in string_chunks(b.column(1)):
-                sets = [s.tobytes() for s in ngram_sets(data, off, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(off) - 1), pa.array(sets, pa.binary())], names=["id", "grams"])
-
-    sets = d.where("id IS NOT NULL").mapInArrow(read, "id long, grams binary")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"wayloom_sets_{uuid.uuid4().hex}"
-    put = sets.repartition(tasks, "id").write.bucketBy(tasks, "id").sortBy("id").option("path", fresh_dir(spark, "sets"))
-    put.saveAsTable(name)
-    return name, spark.table(name)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, link, far): whether the whole sets are similar, and their Jaccard distance."""
+            texts = [pa.compress(x, "zstd", asbytes=True) if len(x) else b"" for x in b.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()]
+            size = pc.binary_length(b.column(1).cast(pa.large_binary())).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(texts, pa.binary())], names=["id", "size", "text"])
 
     def compare(batches):
+        held: dict = {}
+
+        def grams(key: int, size: int, text: bytes) -> np.ndarray:
+            got = held.pop((key, size, text[-64:]), None)  # a checksum is among the last bytes
+            if got is None:
+                data = np.frombuffer(pa.decompress(text, size, "zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+                got = ngram_sets(data, np.array([0, size]), n)[0]
+            held[key, size, text[-64:]] = got
+            if len(held) > HELD_SETS:
+                held.pop(next(iter(held)))
+            return got
+
         for b in batches:
             link, far = [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, j, p, q, u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = grams(i, p, u), grams(j, q, v)
                 same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
                 union = len(x) + len(y) - same
                 link.append(100 * same >= percent * union and same > 0)
                 far.append(1 - same / max(union, 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(link, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "link", "far"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = marked(d.where("id IS NOT NULL"), ids, ["id"]).mapInArrow(packed_texts, "id long, size long, text binary")
+    left = texts.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("text").alias("u"))
+    right = texts.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("text").alias("v"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "u", "v")
     got = both.mapInArrow(compare, "a long, b long, link boolean, far double")
     # an id with several texts: the nearest counts
     return materialise(got.groupBy("a", "b").agg(F.max("link").alias("link"), F.min("far").alias("far")), "verified")
@@ -279,16 +282,11 @@ def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _open_pairs(candidates: DataFrame, comp: DataFrame, turn: int, every: bool) -> DataFrame:
-    """Candidates between different classes: one for each document, or every one."""
+def _open_pairs(candidates: DataFrame, comp: DataFrame) -> DataFrame:
+    """Candidates between different classes."""
     for c in ("a", "b"):
         candidates = candidates.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"class_{c}")), c, "left")
-    classes = [F.coalesce(f"class_{c}", c) for c in ("a", "b")]
-    open_ = candidates.where(classes[0] != classes[1]).select("a", "b")
-    if every:
-        return open_
-    one = open_.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("lot"), F.col("b"))).alias("one"))
-    return one.select("a", F.col("one.b").alias("b"))
+    return candidates.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
 
 def _mixed_pairs(counts: DataFrame, size: DataFrame, percent: int) -> DataFrame:
@@ -305,113 +303,125 @@ def _state(hot: DataFrame, comp: DataFrame) -> DataFrame:
     return state.withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _pivots(state: DataFrame, turn: int) -> DataFrame:
-    """(gram, id2, n2, comp2) for crowded n-grams whose documents are in different classes.
+def _pivots(hot: DataFrame) -> DataFrame:
+    """(gram, id2, n2) for crowded n-grams.
 
     A pivot is a document with few uncrowded n-grams, as it lies in the middle of its copies.
     """
-    lot = F.struct(F.floor(F.col("cold") / (1 << turn)), F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"), F.col("comp"))
-    pivot = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(lot).alias("pivot"))
-    return pivot.where("low < high").select("gram", *(F.col(f"pivot.{c}").alias(f"{c}2") for c in ("id", "n", "comp")))
+    lot = F.struct("cold", F.xxhash64("id").alias("lot"), F.col("id"), F.col("n"))
+    return hot.groupBy("gram").agg(F.min(lot).alias("pivot")).select("gram", F.col("pivot.id").alias("id2"), F.col("pivot.n").alias("n2"))
 
 
 def _fits(percent: int):
-    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("comp") != F.col("comp2"))
+    return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
 
 
-def _undecided(state: DataFrame, counts: DataFrame, percent: int, turns: list[int]) -> DataFrame:
+def _undecided(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """All pairs of a crowded n-gram's documents that are in different classes and may be similar.
 
-    Pairs that share uncrowded n-grams are among ``_mixed_pairs``, too, if those make the
-    difference.  Two exact bounds thin out the join.  Jaccard distance is a metric: distances to a common
-    pivot differ by no more than the distance of the two.  And the crowded n-grams of
-    either prefix (``h``, then their common ones), with what lies beyond the prefixes, must
-    allow the needed overlap.
+    One of the two is outside the class that most documents of the n-gram are in, so only
+    those outside meet all.  The crowded n-grams that two documents share form runs in
+    their lists; a pair has a row where a run begins or ends, and the places there add up
+    to the number of shared ones.  A pair goes on if that number, its uncrowded matches and
+    what lies beyond the prefixes allow the needed overlap, unless two distances to a common
+    pivot differ by more than the pair's may (Jaccard distance is a metric).
     """
-    mixed = state.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
-    one = state.join(mixed, "gram", "left_semi")
-    two = one.select("gram", *(F.col(c).alias(f"{c}2") for c in one.columns if c != "gram"))
+    state = materialise(state, "crowded-classes")
+    usual = state.groupBy("gram", "comp").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max_by("comp", F.struct("many", "comp")).alias("usual"))
+    every = materialise(state.join(usual, "gram").withColumn("outside", F.col("comp") != F.col("usual")).drop("usual"), "crowded-outside")
+    two = every.select("gram", *(F.col(c).alias(f"{c}2") for c in every.columns if c != "gram"))
     needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
-    met = one.join(two, "gram").where("id < id2").where(_fits(percent))
-    met = met.where(F.least("h", "h2") + F.greatest("rest", "rest2") >= needed)
-    for t in turns:
-        apart = F.abs(F.col(f"far_{t}") - F.col(f"far_{t}2")) > 1 - percent / 100 + 1e-9
-        met = met.where(~F.coalesce(apart, F.lit(False)))
+    begins, ends = (~F.coalesce(F.col(c) == F.col(f"{c}2"), F.lit(False)) for c in ("before", "after"))
+    met = every.where("outside").join(two, "gram").where((F.col("comp") != F.col("comp2")) & (~F.col("outside2") | (F.col("id") < F.col("id2"))))
+    # a row that breaks a bound speaks against its pair, wherever the pair's other rows are
+    most = F.least("place", "place2") + F.least(F.col("h") - F.col("place"), F.col("h2") - F.col("place2"))
+    apart = F.coalesce(F.abs(F.col("far") - F.col("far2")) > 1 - percent / 100 + 1e-9, F.lit(False))
+    met = met.where(_fits(percent) & (most + F.greatest("rest", "rest2") >= needed) & ~apart & (begins | ends))
+    place = F.when(F.col("id") < F.col("id2"), F.col("place")).otherwise(F.col("place2"))  # the same document's in every row
+    shared = F.when(ends, place + 1).otherwise(0) - F.when(begins, place).otherwise(0)
     both = met.groupBy(*_pair("id", "id2")).agg(
-        F.count("*").alias("crowded"), F.greatest(F.max("rest"), F.max("rest2")).alias("beyond"), (F.max("n") + F.max("n2")).alias("sizes")
+        F.sum(shared).alias("crowded"), F.greatest(F.max("rest"), F.max("rest2")).alias("beyond"), (F.max("n") + F.max("n2")).alias("sizes")
     )
     needed = F.ceil(F.lit(percent) * F.col("sizes") / (100 + percent))
     reach = F.col("crowded") + F.coalesce("c", F.lit(0)) + F.col("beyond")
     return both.join(counts.select("a", "b", "c"), ["a", "b"], "left").where(reach >= needed).select("a", "b")
 
 
+def _chosen(every: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of each set: only rows whose digest may stand twice are moved."""
+    repeated = materialise(first.where("rows > 1").select("digest", F.col("first").alias("id")), "repeated-sets")
+    alone = marked(every, repeated, ["digest"], others=True).where("id IS NOT NULL")
+    # a row whose digest only looks like a repeated one has no partner
+    several = marked(every, repeated, ["digest"]).join(repeated.withColumnRenamed("id", "only"), "digest", "left")
+    several = several.where("id IS NOT NULL AND (only IS NULL OR id = only)").drop("only").dropDuplicates(["digest", "id"])
+    return alone.select(*every.columns).unionByName(several.select(*every.columns))
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """(id, n_shingles, component): component is the smallest id reachable by links."""
     spark = documents.sparkSession
+    if not isinstance(documents.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(CELLS, np.uint64)
         for b in batches:
             for _, data, off in string_chunks(b.column(0)):
                 grams = np.concatenate(ngram_sets(data, off, n))
-                total += np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                total += np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint64)
         yield from packed(total, partition_number())
 
-    counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint32, "sum")
+    counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint64, "sum")
     order = ship(spark, Order(counts))  # CELLS cells, whatever the input
     every = materialise(_prepare(d, n, percent, order), "prefixes")
-    first = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
-    chosen = every.where("n > 0").join(first.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_semi")
-    chosen = chosen.dropDuplicates(["digest", "id"])
-    postings = _postings(chosen)
-    crowded = postings.where(F.shiftright("gram", 56) > 0)
-    met = materialise(_meet(postings.where(F.shiftright("gram", 56) == 0).repartition("gram"), percent), "met")
+    order.unship()
+    first = materialise(every.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "sets")
+    chosen = materialise(_chosen(every.where("n > 0"), first), "chosen")
+    met = _meet(_postings(chosen, False).repartition(tasks, "gram").sortWithinPartitions("gram"), percent)
+    met = materialise(met, "met")
     hot = met.where("kind = 1").select(F.col("x").alias("gram"), F.col("y").alias("id"), F.col("c").cast("int").alias("n"), F.col("p").cast("int").alias("matches"))
-    hot = materialise(hot.unionByName(crowded.select("gram", "id", "n", "matches")), "crowded")
+    hot = hot.unionByName(_postings(chosen, True))
     counts = materialise(_counts(met), "counts")
-    candidates = _candidates(counts, percent)
+    # the place of a crowded n-gram in its document's list, and its neighbours there
+    row, whole = Window.partitionBy("id", "n").orderBy("gram"), Window.partitionBy("id", "n")
+    length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + F.max("matches").over(whole)).cast("long")
+    hot = hot.distinct().select(
+        "gram", "id", "n", F.row_number().over(row).cast("long").alias("place"), F.lag("gram").over(row).alias("before"), F.lead("gram").over(row).alias("after"),
+        F.count("*").over(whole).alias("h"), (length - F.count("*").over(whole)).alias("cold"), (F.col("n") - length).alias("rest"),
+    )
+    hot = materialise(hot.withColumn("place", F.col("place") - 1), "crowded")
     drop_table_files(met)
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
-    name, sets = _sets(d, ids, n)
-    links = tried = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "node long, comp long")
-    length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + F.max("matches")).cast("long")
-    size = hot.groupBy("id", "n").agg(F.count("*").alias("h"), (length - F.count("*")).alias("cold"), (F.col("n") - length).alias("rest"))
-    hot = materialise(hot.join(size, ["id", "n"]).drop("matches"), "crowded")
-    size = materialise(size.groupBy("id").agg(F.max("h").alias("h")), "crowded-sizes")
-    turns = []
-    for turn in range(PIVOT_ROUNDS + 1):
-        state, pivots = _state(hot, comp), None
-        if turn < PIVOT_ROUNDS:
-            pivots = materialise(_pivots(state, turn), "pivots")
-            crowded = state.join(pivots, "gram").where(_fits(percent)).select(*_pair("id", "id2"))
-        else:
-            crowded = _undecided(state, counts, percent, turns)
-        cold = candidates if pivots is not None else _mixed_pairs(counts, size, percent)
-        pairs = _open_pairs(cold, comp, turn, pivots is None).unionByName(crowded).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue  # another pivot may still meet another class
-        seen = _verified(pairs, sets, percent)
-        more = seen.where("link").select("a", "b")
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        if pivots is not None:
-            turns.append(turn)
-            far = F.when(F.col("id") == F.col("id2"), F.lit(0.0)).otherwise(F.col("far")).alias(f"far_{turn}")
-            near = hot.join(pivots.select("gram", "id2"), "gram", "left").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
-            hot = materialise(near.join(seen.drop("link"), ["a", "b"], "left").select(*hot.columns, far), "crowded")
-        if not more.isEmpty():
-            comp = components(links)
-    drop_table_files(sets)
-    spark.sql(f"DROP TABLE {name}")
+    drop_table_files(chosen)
+    size = materialise(hot.groupBy("id").agg(F.max("h").alias("h")), "crowded-sizes")
+    pivots = materialise(_pivots(hot), "pivots")
+    compared = hot.join(pivots, "gram").where(_fits(percent) & (F.col("id") != F.col("id2"))).select(*_pair("id", "id2"))
+    pairs = materialise(_candidates(counts, percent).unionByName(compared).distinct(), "pairs")
+    seen = _verified(pairs, d, n, percent)
+    links = seen.where("link").select("a", "b")
+    comp = components(links)
+    far = F.when(F.col("id") == F.col("id2"), F.lit(0.0)).otherwise(F.col("far")).alias("far")
+    near = hot.join(pivots.select("gram", "id2"), "gram").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
+    near = near.join(seen.select("a", "b", "far"), ["a", "b"], "left").select(*hot.columns, far)
+    more = _open_pairs(_mixed_pairs(counts, size, percent), comp).unionByName(_undecided(_state(near, comp), counts, percent)).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        again = _verified(more, d, n, percent)
+        comp = components(links.unionByName(again.where("link").select("a", "b")))
+        drop_table_files(again)
+    for t in (seen, pairs, more, pivots, size, hot, counts):
+        drop_table_files(t)
     classes = first.join(comp.select(F.col("node").alias("first"), "comp"), "first", "left")
     classes = classes.select("digest", F.coalesce("comp", "first").alias("component"))
-    out = every.select("id", "n", "digest").join(classes, "digest", "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component"))
+    out = every.select("id", "n", "digest").join(classes, "digest", "left")
+    out = materialise(out.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component")), "classes")
+    for t in (every, first, comp):
+        drop_table_files(t)
+    return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
