@@ -253,12 +253,12 @@ def test_banded_distance(spark, threshold):
 
 
 def brute_lines(rows):
-    """Class of each line: (first document and place) of what is linked by one edit."""
+    """Class of each line: (first document and place) of what is linked by the edits that its words allow."""
     found = {}
     for doc, text in rows:
-        for pos, x in enumerate((text or "").split("\n") if text is not None else []):
+        for pos, x in enumerate(text.split("\n") if text is not None else []):
             x = x.strip(" \t\x0b\x0c\r")
-            if len(x) >= lines.MIN_CHARS:
+            if x:
                 found.setdefault(x, []).append((doc, pos))
     names = sorted(found)
     comp = {x: x for x in names}
@@ -269,48 +269,61 @@ def brute_lines(rows):
         return x
 
     for a, b in itertools.combinations(names, 2):
-        if abs(len(a) - len(b)) <= 1 and edit(a, b) <= 1:
+        x, y = sorted((a.split(), b.split()), key=len)
+        most = max((t for least, t in lines.EDITS if len(x) >= least), default=-1)
+        if len(y) - len(x) <= most and edit(x, y) <= most:
             comp[root(b)] = root(a)
     out = {}
     for x in names:
         out.setdefault(root(x), []).extend(found[x])
-    return {place: (min(g), len({d for d, _ in g})) for g in out.values() for place in g if len({d for d, _ in g}) > 1}
+    return {place: (min(g), len({d for d, _ in g})) for g in out.values() for place in g if len(g) > 1}
 
 
-@pytest.mark.parametrize("paired", [8, 1])
-def test_line_classes_equal_brute_force(spark, monkeypatch, paired):
-    """With ``paired`` 1 every shared key is crowded, so the finer cuts decide."""
+@pytest.mark.parametrize("seed,paired,marks", [(11, 8, 26), (12, 1, 8), (13, 2, 20)])
+def test_line_classes_equal_brute_force(spark, monkeypatch, seed, paired, marks):
+    """With ``paired`` 1 every shared key is crowded, so bags and pivots decide."""
     monkeypatch.setattr(lines, "PAIRED", paired)
-    rng = random.Random(11)
-    bases = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(41, 60))).strip().ljust(41, "x") for _ in range(6)]
+    monkeypatch.setattr(lines, "EDITS", ((4, 1), (9, 2)))
+    monkeypatch.setattr(common, "MARKS", 1 << marks)
+    rng = random.Random(seed)
+    voc = ["abcdefghéijk"[k] * 2 for k in range(12)]
+    bases = [[rng.choice(voc) for _ in range(rng.randrange(3, 14))] for _ in range(6)]
+    bases[1] = [*bases[0][: len(bases[0]) // 2 + 1], *bases[1]]
     rows = []
     for k in range(40):
         own = []
         for _ in range(4):
             x = list(rng.choice(bases))
-            for _ in range(rng.randrange(0, 3)):
+            for _ in range(rng.randrange(0, 4)):
                 p = rng.randrange(0, len(x))
-                x[p : p + rng.randrange(0, 2)] = rng.choice(["", "q", "z"])
-            own.append("".join(x) + rng.choice(["", " ", "\t"]))
-        rows.append((k, "\n".join([*own, "short"])))
+                x[p : p + rng.randrange(0, 2)] = rng.choice([[], ["q"], ["z"], ["z q"]])
+            own.append(rng.choice([" ", " ", "  "]).join(x) + rng.choice(["", " ", "\t"]))
+        rows.append((k, "\n".join([*own, "", " \t", "short"])))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc, r.pos): ((r.first_doc, r.first_pos), r.n_docs) for r in lines.repeated_lines(d).collect()}
     assert got == brute_lines(rows)
 
 
-def test_dedup_removes_later_places_of_common_lines(spark):
-    common, rare = "This line stands in a great many of the documents.", "This one is found in two documents and stays there."
-    rows = [(k, f"own text {k}\n{common}\n{rare if k < 2 else ''}") for k in range(9)] + [(20, common), (21, None), (22, "")]
+def test_dedup_removes_later_places_of_lines(spark):
+    common, rare = "This line stands in a great many of the documents.", "This one is found in two documents only."
+    rows = [(k, f"own text {k}\n{common}\n{rare if k < 2 else ''}") for k in range(9)] + [(20, common.replace("stands", "is")), (21, None), (22, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash")).withColumn("gone_pos", F.lit(1))
     out = lines.dedup_lines(d)
     assert out.columns == d.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got[0] == rows[0][1] and got[1] == f"own text 1\n{rare}" and got[5] == "own text 5\n"
+    assert got[0] == rows[0][1] and got[1] == "own text 1" and got[5] == "own text 5\n"
     assert 20 not in got and got[21] is None and got[22] == ""
-    assert lines.dedup_lines(odd(spark)).count() == len(ODD) + 3
     assert lines.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_very_long_and_very_common_lines(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(k, f"{long.replace('w77 ', f'x{k} ')}\nthe same line of nine words in every document\n{k}") for k in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.pos): (r.first_doc, r.first_pos, r.n_docs) for r in lines.repeated_lines(d).collect()}
+    assert got == {(k, p): (0, p, 12) for k in range(12) for p in (0, 1)}
+
+
 def test_short_lines_take_part_in_the_pipeline(spark):
     rows = [(k, f"own text {k}\n All rights reserved.\t\n\nx{k}", "en", "web", 9) for k in range(9)]
     lined = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), SF)

@@ -17,10 +17,10 @@ BLOCKS, FAN_IN = 64, 32
 SCHEMA = "block int, part int, cells binary"
 
 
-def packed(cells: np.ndarray, part: int):
-    """The array as rows, one for each block that is not all zero."""
+def packed(cells: np.ndarray, part: int, dtype: type):
+    """The array as rows of ``dtype``, one for each block that is not all zero."""
     step = len(cells) // BLOCKS
-    rows = [(k, part, zlib.compress(c.tobytes(), 1)) for k in range(BLOCKS) if (c := cells[k * step : (k + 1) * step]).any()]
+    rows = [(k, part, zlib.compress(c.astype(dtype).tobytes(), 1)) for k in range(BLOCKS) if (c := cells[k * step : (k + 1) * step]).any()]
     if rows:
         block, group, data = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(

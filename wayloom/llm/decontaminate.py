@@ -32,9 +32,9 @@ WINDOW = 13
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 32 << 20
 #: Symbols of an index; texts (bytes) of a shard; distance of sampled positions.
-SHARD_SYMBOLS, SHARD_BYTES, STEP = 1 << 20, 64 << 20, 16
+SHARD_SYMBOLS, SHARD_BYTES, STEP = 1 << 20, 32 << 20, 16
 
-OUT = "id {id}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+OUT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 class Bits:
@@ -186,12 +186,12 @@ class Shard:
     """Documents gathered for one index."""
 
     def __init__(self, phrases: Phrases):
-        self.phrases, self.ids, self.n_words, self.parts = phrases, [], [], []
+        self.phrases, self.rows, self.n_words, self.parts = phrases, [], [], []
         self.held = self.bytes = self.words = 0
 
-    def add(self, ids: pa.Array, data: np.ndarray, off: np.ndarray) -> None:
+    def add(self, rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> None:
         _, _, first, h = words_of(data, off, alphanumeric())
-        self.ids.append(ids)
+        self.rows.append(rows)
         self.n_words.append(np.diff(first))
         self.bytes += len(data)
         if len(self.phrases.vocabulary) and len(h):
@@ -261,13 +261,13 @@ class Shard:
                     items[k] = sorted({p.items[i] for i in items[k]})
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays(self.ids),
+                *(pa.concat_arrays(c) for c in zip(*(r.columns for r in self.rows), strict=True)),
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ],
-            names=["id", "n_words", "n_hit", "items", "spans"],
+            names=[*self.rows[0].schema.names, "n_words", "n_hit", "items", "spans"],
         )
 
 
@@ -286,11 +286,16 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
+    whole: bool = False,
 ) -> DataFrame:
-    """(id, n_words, n_hit, items, spans): removal spans in words, ends excluded."""
+    """(id, n_words, n_hit, items, spans): removal spans in words, ends excluded.
+
+    ``whole`` gives the documents' columns as a struct ``row`` in place of the id.
+    """
     spark = documents.sparkSession
-    kind = documents.schema[id_col].dataType.simpleString()
-    d = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*(F.col(c) for c in documents.columns)) if whole else F.col(id_col)
+    d = documents.select(carried.alias("id"), F.col(text_col).cast("string").alias("text"))
+    name = "row" if whole else id_col
 
     def passed(block: DataFrame) -> DataFrame:
         phrases = ship(spark, Phrases([(r.i, r.t) for r in block.collect()], window))
@@ -299,20 +304,20 @@ def find_contamination(
             shard = Shard(phrases.value)
             for b in batches:
                 for i, data, off in string_chunks(b.column(1)):
-                    shard.add(b.column(0).slice(i, len(off) - 1), data, off)
+                    shard.add(b.select([0]).slice(i, len(off) - 1), data, off)
                     if shard.full():
                         yield shard.results()
                         shard = Shard(phrases.value)
-            if shard.ids:
+            if shard.rows:
                 yield shard.results()
 
-        return d.mapInArrow(run, OUT.format(id=kind))
+        return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, {OUT}")
 
     blocks = _blocks(benchmark, item_col, item_text_col)
     if len(blocks) == 1:
-        return passed(blocks[0]).withColumnRenamed("id", id_col)
-    d = materialise(d.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "text"), "decontaminate")
-    kind = d.schema["id"].dataType.simpleString()
+        return passed(blocks[0]).withColumnRenamed("id", name)
+    kept = materialise(d.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    d = kept.select(F.col("row").alias("id"), "text")
     parts = [passed(b) for b in blocks]
     every = parts[0]
     for p in parts[1:]:
@@ -325,7 +330,8 @@ def find_contamination(
     heads = F.filter("w", lambda x, i: F.coalesce(F.get(F.col("w"), i - 1) != x - 1, F.lit(True)))
     tails = F.filter("w", lambda x, i: F.coalesce(F.get(F.col("w"), i + 1) != x + 1, F.lit(True)))
     spans = F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
-    return got.select(F.col("id.id").alias(id_col), "n_words", F.size("w").cast("long").alias("n_hit"), "items", spans.alias("spans"))
+    got = got.withColumnRenamed("id", "row").join(kept.select("row", "id"), "row")
+    return got.select(F.col("id").alias(name), "n_words", F.size("w").cast("long").alias("n_hit"), "items", spans.alias("spans"))
 
 
 def is_contaminated():

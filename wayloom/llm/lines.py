@@ -1,24 +1,28 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of MIN_CHARS characters or more (white space trimmed) are one class if they are equal
-or linked by one edit (insertion, deletion, substitution), directly or over others.
-
-1. A line of l characters is cut into threshold + 1 = 2 segments by places that depend on
-   its length only.  One edit leaves a segment intact; it is found at the same distance
-   from the start (before the edit) or from the end (behind it).  The index has a key for
-   each segment and length; a line probes its own length and the one below.
-2. Keys that few lines share give candidate pairs.  The lines of a crowded key are cut into
-   FINE segments, where all but one are intact: a key is everything but one segment.  Keys
-   that are crowded still end at single characters, where equal keys are links already and
-   one star of links joins them.  So no group emits all its pairs, and no link is lost.
-3. Candidates are verified by banded bit-parallel edit distance: a band of 2t + 1 diagonals
-   in one word, advanced by one addition and a few logical operations a character.
+Two lines (white space trimmed) are linked if they are equal, or if their words differ by as
+many edits (insertion, deletion, substitution of a word) as EDITS allows the shorter one:
+none below 8 words, one from 8 and two from 40 words on.  Classes are what links connect.
+
+1. A line of n words with a threshold of t is cut into t + 1 segments by places that depend
+   on n only.  t edits leave a segment intact.  The index has a key for each segment and
+   length; a longer line probes the lengths that it may be linked with, at the shifts that t
+   allows (a segment's edits on its left bound the shift from the start, those on its right
+   the shift from the end).
+2. Keys that few lines share give candidate pairs.  The lines of a crowded key are keyed
+   anew by the bags of their words, dealt by hash into 2 t + 1 parts: t edits touch 2 t of
+   them at most.  Of a crowded bag, every line is compared to a pivot, the line of most
+   crowded bags; what then is in another class than most lines of the bag meets the others
+   that may be close by a parity map of their words.  So no key emits all its pairs, and no
+   link between different classes is lost.
+3. Candidates are verified by banded bit-parallel edit distance: a band of 2 t + 1 diagonals
+   in one word, advanced by one addition and a few logical operations a word.
 4. Links become classes by label propagation; classes are counted over all documents.
 
-Line identity is a 64-bit hash of the trimmed line.  Defined results: null texts have no
-lines; rows with a null id keep their lines and count as one document; repeated rows are
-documents of their own only if their ids differ; lines below ``min_chars`` are never removed; extra
-columns pass through ``dedup_lines``; an empty table gives an empty result.
+Equality of lines rests on 128 bits of hash, candidates on 64, links on the words.  Defined
+results: null texts have no lines, blank lines are none; rows with a null id keep their lines
+and count as one document; repeated rows are documents of their own only if their ids
+differ; extra columns pass through ``dedup_lines``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,85 +30,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import drop_table_files, marked, materialise, table
 from .components import components
 
-THRESHOLD, MIN_CHARS = 1, 40
-#: Lines that a key may pair at once; segments of the second cut.
-PAIRED, FINE = 8, 16
-#: A class found in more documents than this is kept in its first place only.
-MOST_DOCS = 6
-#: Bits that mark the lines whose text is fetched (fixed size: 2 MB).
-MARKS = 1 << 24
+#: (words, edits): lines of so many words or more may differ in so many words.
+EDITS = ((8, 1), (40, 2))
+#: Lines that a key may pair at once.
+PAIRED = 8
 BLANK = " \t\x0b\x0c\r"
 
 
-def lines_of(documents: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, pos, line, size, id) of the lines that take part."""
-    d = documents.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    d = d.withColumn("line", F.btrim("line", F.lit(BLANK))).withColumn("size", F.length("line"))
-    return d.where(F.col("size") >= min_chars).withColumn("id", F.xxhash64("line"))
-
+def words_of_line(line) -> Column:
+    return F.array_remove(F.split(F.translate(line, BLANK, " " * len(BLANK)), " "), "")
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def edits(n: Column) -> Column:
+    """The threshold of a line of ``n`` words."""
+    out = F.lit(0)
+    for least, most in EDITS:
+        out = F.when(n >= least, F.lit(most)).otherwise(out)
+    return out
 
-def keys(lines: DataFrame, pieces: int) -> DataFrame:
-    """(key, id, index): all but one of the line's segments, cut for its length and for one less."""
 
-    def cut(size: Column, kind: bool) -> Column:
-        def one(j: Column) -> Column:
-            left = F.floor(j * size / pieces).cast("int")
-            right = size - F.floor((j + 1) * size / pieces).cast("int")
-            key = F.xxhash64(size, j, F.left(F.col("line"), left), F.right(F.col("line"), right))
-            return F.struct(key.alias("key"), F.lit(kind).alias("index"))
+def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, pos, line, id, id2) of the lines that are not blank."""
+    d = documents.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
+    d = d.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
+    return d.withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(2), "line")})
 
-        return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), one)
 
-    both = F.concat(cut(F.col("size"), True), F.when(F.col("size") > MIN_CHARS, cut(F.col("size") - 1, False)).otherwise(F.array()))
-    return lines.select("id", F.explode(both).alias("k")).select("k.key", "id", "k.index")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared(rows: DataFrame, name: str) -> DataFrame:
+def keys(lines: DataFrame) -> DataFrame:
+    """(key, id, index): the segments of each line, and what it probes in shorter lines."""
+    words, n = F.col("words"), F.size("words")
+
+    def cut(t: int, less: int) -> Column:
+        length, out = n - less, []
+        for i in range(t + 1):
+            left, right = F.floor(length * i / (t + 1)).cast("int"), F.floor(length * (i + 1) / (t + 1)).cast("int")
+            for shift in range(max(-i, less - t + i), min(i, less + t - i) + 1):
+                key = F.xxhash64(length, F.lit(i), F.slice(words, left + 1 + shift, right - left))
+                out.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("index")))
+        return F.array(*out)
+
+    parts = []
+    for less in range(EDITS[-1][1] + 1):
+        part = F.array().cast("array<struct<key:bigint,index:boolean>>")
+        for least, t in EDITS:
+            if t >= less:
+                part = F.when(n - less >= least, cut(t, less)).otherwise(part)
+            else:
+                part = F.when(n - less >= least, F.array().cast("array<struct<key:bigint,index:boolean>>")).otherwise(part)
+        parts.append(part)
+    d = lines.select("id", words_of_line("line").alias("words")).where(n >= EDITS[0][0])
+    return d.select("id", F.explode(F.concat(*parts)).alias("k")).select("k.key", "id", "k.index")
+
+
+def shared(rows: DataFrame) -> DataFrame:
     """Rows of keys that several lines have, one of them indexed, with their number ``n``.
 
-    One aggregation, combined before its shuffle, finds the keys; only rows that a bitmap
-    of these keys lets through are moved for the rest.
+    One aggregation, combined before its shuffle, finds the keys; only rows that a map of
+    these keys lets through are moved for the rest.
     """
     few = rows.groupBy("key").agg(F.max("index").alias("any"), F.min("id").alias("low"), F.max("id").alias("high"))
-    few = materialise(few.where("any AND low < high").select("key"), f"{name}-keys")
-    found = marked(rows, few, "key").distinct().join(few, "key")
-    found = materialise(found, f"{name}-rows")
-    return materialise(found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key"), name)
-
-
-def paired(rows: DataFrame) -> DataFrame:
-    """Pairs of the keys that few lines share; one of the two is indexed."""
-    group = rows.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("id", "index")).alias("m"))
+    few = materialise(few.where("any AND low < high").select("key"), "line-keys")
+    found = marked(rows, few, ["key"]).groupBy("key", "id").agg(F.max("index").alias("index")).join(few, "key")
+    found = materialise(found, "line-rows")
+    out = materialise(found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key"), "line-shared")
+    drop_table_files(few)
+    drop_table_files(found)
+    return out
+
+
+def paired(rows: DataFrame, indexed: Column) -> DataFrame:
+    """Pairs of the keys that few lines share."""
+    group = rows.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("id", indexed.alias("index"))).alias("m"))
     one = group.select("m", F.explode("m").alias("x"))
     two = one.select("x", F.explode("m").alias("y")).where("x.id < y.id AND (x.index OR y.index)")
     return two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def single_characters(lines: DataFrame) -> DataFrame:
-    """Links by equal rests: a star for each, from the smallest line or from the rest itself."""
-    size, line = F.col("size"), F.col("line")
+def bags(texts: DataFrame) -> DataFrame:
+    """(key, id, size, sign): the words of a line dealt by hash into 2 t + 1 parts, for each threshold t that applies."""
 
-    def rest(j: Column) -> Column:
-        return F.concat(F.left(line, j), F.right(line, size - 1 - j))
+    def dealt(j: int, n: int):
+        return lambda w: F.pmod(F.xxhash64(w), F.lit(n)) == j
 
-    places = F.sequence(F.lit(0), size - 1)
-    swap = F.transform(places, lambda j: F.struct(F.xxhash64(size, j, rest(j)).alias("key"), F.lit(0).alias("kind")))
-    drop = F.transform(places, lambda j: F.struct(F.xxhash64(rest(j)).alias("key"), F.lit(1).alias("kind")))
-    whole = F.array(F.struct(F.col("id").alias("key"), F.lit(2).alias("kind")))
-    rows = lines.select("id", F.explode(F.concat(swap, drop, whole)).alias("k")).select("id", "k.key", "k.kind").distinct()
-    swaps = rows.where("kind = 0")
-    star = swaps.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("high")).where("a < high").select("key", "a")
-    one = swaps.join(star, "key").where("a <> id").select("a", F.col("id").alias("b"))
-    two = rows.where("kind = 1").join(rows.where("kind = 2").select("key", F.col("id").alias("a")), "key").select("a", F.col("id").alias("b"))
-    return one.unionByName(two)
+    words, n = F.col("words"), F.size("words")
+    parts = []
+    for k, (least, t) in enumerate(EDITS):
+        above = EDITS[k + 1][0] if k + 1 < len(EDITS) else 1 << 30
+        # a longer line meets shorter ones by their threshold, too
+        own = (n >= least) & (n - t < above)
+        part = [F.xxhash64(F.lit(t), F.lit(j), F.sort_array(F.filter(words, dealt(j, 2 * t + 1)))) for j in range(2 * t + 1)]
+        parts.append(F.when(own, F.array(*part)).otherwise(F.array().cast("array<bigint>")))
+    sign = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(3)), F.lit(64)).cast("int"))))
+    d = texts.select("id", words_of_line("line").alias("words")).select("id", n.alias("size"), sign.alias("sign"), F.concat(*parts).alias("bags"))
+    return d.select("id", "size", "sign", F.explode("bags").alias("key"))
 
 
 def within(left: Column, right: Column, threshold: int) -> Column:
@@ -153,68 +179,110 @@ def within(left: Column, right: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda a: a.dist) <= threshold
 
 
-def marked(rows: DataFrame, wanted: DataFrame, column: str = "id") -> DataFrame:
-    """Rows whose ``column`` may be among ``wanted``: a bitmap of fixed size goes to every task."""
-    h = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
-    place = F.call_function("bitmap_bit_position", h)
-    bitmap = wanted.groupBy(F.call_function("bitmap_bucket_number", h).alias("bucket")).agg(F.call_function("bitmap_construct_agg", place).alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    d = rows.withColumn("bucket", F.call_function("bitmap_bucket_number", h))
-    return d.join(F.broadcast(bitmap), "bucket").where(found).drop("bucket", "bits")  # MARKS bits
+def near(size: Column, size2: Column) -> Column:
+    """Whether lines of so many words may be linked."""
+    return F.abs(size - size2) <= edits(F.least(size, size2))
 
 
-def line_classes(lines: DataFrame) -> DataFrame:
-    """(id, class): for every line that another text is linked with; class is the smallest id."""
-    first = shared(keys(lines, THRESHOLD + 1), "line-keys")
-    ids = first.select("id").distinct()
-    texts = marked(lines.select("id", "line", "size"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = materialise(texts, "line-texts")
-    crowd = first.where(F.col("n") > PAIRED).select("id").distinct()
-    second = shared(keys(texts.join(crowd, "id", "left_semi"), FINE), "line-fine")
-    crowd = second.where(F.col("n") > PAIRED).select("id").distinct()
-    pairs = paired(first).unionByName(paired(second))
-    pairs = pairs.unionByName(single_characters(texts.join(crowd, "id", "left_semi")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    two = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.length("x") - F.length("y")) <= THRESHOLD)
-    swap = F.length("x") <= F.length("y")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    words = texts.select("id", words_of_line("line").alias("words"))
+    one = words.select(F.col("id").alias("a"), F.col("words").alias("x"))
+    two = words.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").where(near(F.size("x"), F.size("y")))
+    swap = F.size("x") <= F.size("y")
     short, long = F.when(swap, F.col("x")).otherwise(F.col("y")), F.when(swap, F.col("y")).otherwise(F.col("x"))
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.select("a", "b", short.alias("s"), long.alias("l")).repartition(tasks, "a", "b")  # few bytes, much work
-    # bound as variables of a function, the character arrays are built once for a pair
-    close = let(F.split("s", ""), lambda s: let(F.split("l", ""), lambda l: within(s, l, THRESHOLD)))
-    links = both.where(close).select("a", "b")
-    return components(materialise(links, "line-links")).select(F.col("node").alias("id"), F.col("comp").alias("class"))
+    both = both.select("a", "b", short.alias("s"), long.alias("l"))
 
+    def close(s: Column, l: Column) -> Column:
+        out = F.lit(False)
+        for least, t in EDITS:
+            out = F.when(F.size(s) >= least, within(s, l, t)).otherwise(out)
+        return out
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
-    """(doc, pos, id, class, n_docs, first_doc, first_pos): places of classes in two documents or more.
+    # bound as variables of a function, the arrays are taken once for a pair
+    return both.where(let(F.col("s"), lambda s: let(F.col("l"), lambda l: close(s, l)))).select("a", "b")
 
-    Lines of ``min_chars`` up to MIN_CHARS characters are one class if they are equal.
-    ``inside`` adds the classes that have two places or more in one document only.
-    """
-    lines = lines_of(documents, id_col, text_col, min_chars)
-    classes = line_classes(lines.where(F.col("size") >= MIN_CHARS))
-    places = lines.select("doc", "pos", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    by_doc = places.groupBy("class", "doc").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    spread = by_doc.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"), F.max(F.col("pos") < F.col("last")).alias("again"))
-    spread = spread.where("n_docs > 1 OR again" if inside else "n_docs > 1").select("class", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    return places.join(spread, "class")
+
+def crowded_pairs(rows: DataFrame) -> DataFrame:
+    """Every line of a crowded bag with the bag's pivot: the line of most crowded bags."""
+    rows = rows.where(F.col("n") > PAIRED)
+    often = rows.groupBy("id").agg(F.count("*").alias("often"))
+    rows = rows.join(often, "id")
+    pivot = rows.groupBy("key").agg(F.max(F.struct("often", "id", "size")).alias("pivot")).select("key", F.col("pivot.id").alias("other"), F.col("pivot.size").alias("size2"))
+    met = rows.join(pivot, "key").where((F.col("id") != F.col("other")) & near(F.col("size"), F.col("size2")))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
-def removed_lines(repeats: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
-    """(doc, pos) of the lines to remove: classes of many documents, but for their first place."""
-    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    return repeats.where((F.col("n_docs") > most_docs) & ~first)
+def left_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of a crowded bag that are in different classes and may be close; one is outside the bag's usual class."""
+    rows = rows.where(F.col("n") > PAIRED).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    usual = rows.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("usual"))
+    every = materialise(rows.join(usual, "key").withColumn("outside", F.col("comp") != F.col("usual")).drop("usual", "n"), "line-outside")
+    two = every.select("key", *(F.col(c).alias(f"{c}2") for c in every.columns if c != "key"))
+    apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) > 2 * edits(F.least("size", "size2"))
+    met = every.where("outside").join(two, "key").where((F.col("comp") != F.col("comp2")) & (~F.col("outside2") | (F.col("id") < F.col("id2"))))
+    met = met.where(near(F.col("size"), F.col("size2")) & ~apart)
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS, min_chars: int = MIN_CHARS, inside: bool = False) -> DataFrame:
-    """The documents without the removed lines; a document that loses all its words goes."""
-    gone = removed_lines(repeated_lines(documents, id_col, text_col, min_chars, inside), most_docs)
-    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(id, id2, class): for every line that another text is linked with; class is the smallest id."""
+    first = shared(keys(lines))
+    ids = materialise(first.select("id").distinct(), "line-ids")
+    texts = marked(lines.select("id", "id2", "line"), ids, ["id"]).join(ids, "id").dropDuplicates(["id", "id2"])
+    texts = materialise(texts, "line-texts")
+    crowd = first.where(F.col("n") > PAIRED).select("id").distinct()
+    second = bags(texts.join(crowd, "id")).distinct()
+    second = materialise(second, "line-bags")
+    second = materialise(second.join(second.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "line-crowd")
+    pairs = paired(first, F.col("index")).unionByName(paired(second, F.lit(True))).unionByName(crowded_pairs(second))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    links = materialise(verified(pairs, texts), "line-links")
+    comp = components(links)
+    more = materialise(left_pairs(second, comp).join(pairs, ["a", "b"], "left_anti"), "line-left")
+    if not more.isEmpty():
+        again = materialise(verified(more, texts), "line-links")
+        if not again.isEmpty():
+            comp = components(links.unionByName(again))
+    out = texts.select("id", "id2").join(comp.select(F.col("node").alias("id"), F.col("comp").alias("class")), "id")
+    out = materialise(out, "line-classes")
+    for t in (first, ids, texts, second, pairs, links, more, comp):
+        drop_table_files(t)
+    return out
+
+
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, pos, id, n_docs, first_doc, first_pos): places of classes that have two places or more."""
+    lines = lines_of(documents, id_col, text_col)
+    classes = line_classes(lines)
+    places = lines.select("doc", "pos", "id", "id2").join(classes, ["id", "id2"], "left")
+    # a class of linked lines is named by its smallest id, another by both hashes of its line
+    places = places.withColumns({"class": F.coalesce("class", "id"), "class2": F.when(F.col("class").isNull(), F.col("id2")).otherwise(F.lit(0))})
+    places = materialise(places.drop("id2"), "line-places")
+    drop_table_files(classes)
+    name = ["class", "class2"]
+    by_doc = places.groupBy(*name, "doc").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    spread = by_doc.groupBy(*name).agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"), F.max(F.col("pos") < F.col("last")).alias("again"))
+    spread = spread.where("n_docs > 1 OR again").select(*name, "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    spread = materialise(spread, "line-spread")
+    out = materialise(marked(places, spread, name).join(spread, name).drop(*name), "line-repeats")
+    drop_table_files(places)
+    drop_table_files(spread)
+    return out
+
+
+def later() -> Column:
+    """Whether a place of a repeated line is another than the class's first."""
+    return ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))
+
+
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without the later places of each class of lines; a document that loses all its words goes."""
+    repeats = repeated_lines(documents, id_col, text_col)
+    gone = repeats.where(later()).groupBy("doc").agg(F.collect_set(F.struct("pos", "id")).alias("gone"))
     gone = materialise(gone, "line-gone")
+    drop_table_files(repeats)
     d = documents.select(F.struct(*documents.columns).alias("row"))  # no name of the input can clash
     d = d.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc")), "left")
     old = F.col(f"row.{text_col}")
@@ -225,16 +293,16 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those repeated from an earlier place, and those to remove."""
+    """Per document: its lines, how many are repeated from an earlier place, the most documents a class is in, and its repeated lines.
+
+    ``repeats`` lists place:first document:first place:documents of every line whose class has two places or more.
+    """
     documents = table(spark, sf_dir, "documents")
-    repeats = materialise(repeated_lines(documents), "line-repeats")
-    later = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))
-    gone = later & (F.col("n_docs") > MOST_DOCS)
-    by_doc = repeats.groupBy("doc").agg(
-        F.count_if(later).alias("n_repeats"),
+    member = F.struct("pos", F.concat_ws(":", "pos", "first_doc", "first_pos", "n_docs").alias("text"))
+    by_doc = repeated_lines(documents).groupBy("doc").agg(
+        F.count_if(later()).alias("n_repeats"),
         F.max("n_docs").alias("most_docs"),
-        F.min("first_doc").alias("first_doc"),
-        F.array_join(F.array_sort(F.collect_list(F.when(gone, F.col("pos")))), ",").alias("removed"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(member)), lambda m: m.text), ",").alias("repeats"),
     )
     d = documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     d = d.join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
@@ -243,8 +311,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines",
         F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"),
         F.coalesce("most_docs", F.lit(1)).cast("long").alias("most_docs"),
-        F.coalesce("first_doc", "doc_id").alias("first_doc"),
-        F.coalesce("removed", F.lit("")).alias("removed"),
+        F.coalesce("repeats", F.lit("")).alias("repeats"),
     )
 
 
@@ -253,28 +320,38 @@ WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docum
 o AS (
   SELECT doc_id, pos::INT AS pos, trim(ls[pos + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM t)),
-p AS (SELECT *, length(line) AS n FROM o WHERE length(line) >= 40),
-u AS (SELECT line, n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line, n FROM p)),
+p AS (SELECT * FROM o WHERE line <> ''),
+u AS (
+  SELECT line, w, len(w)::INT AS n, CASE WHEN len(w) >= 40 THEN 2 WHEN len(w) >= 8 THEN 1 ELSE 0 END AS t, row_number() OVER (ORDER BY line) AS id
+  FROM (SELECT line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT line FROM p))),
+s AS (SELECT id, n, i, list_slice(w, i * n // (t + 1) + 1, (i + 1) * n // (t + 1)) AS g FROM (SELECT *, unnest(range(t + 1))::INT AS i FROM u WHERE t > 0)),
+l AS (
+  SELECT id, w, n, m, i, k, i * m // (t + 1) + k + 1 AS b, (i + 1) * m // (t + 1) + k AS e
+  FROM (SELECT *, unnest(range(-2, 3))::INT AS k FROM (SELECT *, unnest(range(t + 1))::INT AS i FROM (
+    SELECT id, w, n, m, CASE WHEN m >= 40 THEN 2 WHEN m >= 8 THEN 1 ELSE 0 END AS t FROM (SELECT id, w, n, n - unnest(range(3))::INT AS m FROM u) WHERE m >= 8)))),
 c AS (
-  SELECT x.id AS a, y.id AS b, x.line AS s, y.line AS l, x.n AS n, y.n - x.n AS d
-  FROM u x JOIN u y ON (y.n = x.n AND x.id < y.id) OR y.n = x.n + 1
-  WHERE left(x.line, (x.n // 2)::INT) = left(y.line, (x.n // 2)::INT)
-     OR right(x.line, (x.n - x.n // 2)::INT) = right(y.line, (x.n - x.n // 2)::INT)),
-e AS (SELECT *, list_position(list_transform(range(1, n + 2), lambda i: coalesce(substr(s, i, 1), '') = substr(l, i, 1) AND i <= n), false) AS f FROM c),
-k AS (SELECT a, b FROM e WHERE substr(s, (CASE WHEN d = 0 THEN f + 1 ELSE f END)::INT) = substr(l, (f + 1)::INT)),
-g AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+  SELECT DISTINCT s.id AS a, l.id AS b FROM s JOIN l ON s.n = l.m AND s.i = l.i AND s.g = list_slice(l.w, l.b, l.e)
+  WHERE l.b >= 1 AND l.e <= l.n AND s.id <> l.id),
+v(a, b, i, j, e) AS (
+  SELECT a, b, f, f, 0 FROM (
+    SELECT a, b, coalesce(list_position(list_transform(range(1, least(x.n, y.n) + 1), lambda k: x.w[k] = y.w[k]), false) - 1, least(x.n, y.n))::INT AS f
+    FROM c JOIN u x ON x.id = a JOIN u y ON y.id = b)
+  UNION
+  SELECT a, b, i + f, j + f, e FROM (
+    SELECT a, b, i, j, e, coalesce(list_position(list_transform(range(1, least(x.n - i, y.n - j) + 1), lambda k: x.w[k + i] = y.w[k + j]), false) - 1, least(x.n - i, y.n - j))::INT AS f
+    FROM (SELECT a, b, v.i + d.i AS i, v.j + d.j AS j, v.e + 1 AS e FROM v, (VALUES (1, 1), (1, 0), (0, 1)) d(i, j) WHERE v.e < 2) JOIN u x ON x.id = a JOIN u y ON y.id = b
+    WHERE i <= x.n AND j <= y.n AND e <= x.t)),
+k AS (SELECT DISTINCT a, b FROM v JOIN u x ON x.id = a JOIN u y ON y.id = b WHERE i = x.n AND j = y.n),
+g AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
 r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
 z AS (SELECT u.line, least(u.id, coalesce(min(r.b), u.id)) AS class FROM u LEFT JOIN r ON r.a = u.id GROUP BY u.line, u.id),
 q AS (SELECT p.doc_id, p.pos, z.class FROM p JOIN z USING (line)),
-v AS (SELECT class, count(DISTINCT doc_id) AS n_docs, min((doc_id, pos)) AS first FROM q GROUP BY class),
-w AS (
-  SELECT q.doc_id, q.pos, v.n_docs, v.first[1] AS first_doc, (q.doc_id, q.pos) <> v.first AS later
-  FROM q JOIN v USING (class) WHERE n_docs > 1),
+y AS (SELECT class, count(DISTINCT doc_id) AS n_docs, min((doc_id, pos)) AS first FROM q GROUP BY class HAVING count(*) > 1),
 h AS (
-  SELECT doc_id, count(*) FILTER (WHERE later) AS n_repeats, max(n_docs) AS most_docs, min(first_doc) AS first_doc,
-         coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (WHERE later AND n_docs > 6), '') AS removed
-  FROM w GROUP BY doc_id)
+  SELECT doc_id, count(*) FILTER (WHERE (doc_id, pos) <> first) AS n_repeats, max(n_docs) AS most_docs,
+         string_agg(concat_ws(':', pos, first[1], first[2], n_docs), ',' ORDER BY pos) AS repeats
+  FROM q JOIN y USING (class) GROUP BY doc_id)
 SELECT t.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_repeats, 0)::BIGINT AS n_repeats,
-       coalesce(most_docs, 1)::BIGINT AS most_docs, coalesce(first_doc, t.doc_id) AS first_doc, coalesce(removed, '') AS removed
+       coalesce(most_docs, 1)::BIGINT AS most_docs, coalesce(repeats, '') AS repeats
 FROM t LEFT JOIN h ON h.doc_id = t.doc_id
 """

@@ -13,9 +13,9 @@
 5. An n-gram that many documents have in their prefix does not emit all pairs.  Its
    documents are compared to a pivot; what then is in another class than most of the
    n-gram's documents meets the others, but only where a run of shared crowded n-grams
-   begins or ends, which suffices to count them.  Pairs pass two exact bounds (the metric to
-   common pivots, and the overlap that all prefix matches still allow) and are verified in
-   full.  So no link between different classes is lost.
+   begins or ends, which suffices to count them.  Pairs pass two exact bounds (by their
+   intersections with the pivot, and by the overlap that all prefix matches still allow)
+   and are verified in full.  So no link between different classes is lost.
 6. Candidates are verified by exact intersection of the whole n-gram sets of their texts;
    only texts of candidates move.  The links become classes by label propagation.
 
@@ -42,8 +42,8 @@ from .common import drop_table_files, marked, materialise, mix, ship, space_sepa
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: Cells of the count array.
-CELLS = 1 << 21
+#: Cells of the count array: an n-gram that makes up more than about one in CELLS of all counts as common.
+CELLS = 1 << 24
 #: Longest prefix extension; cost of a verification in postings.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 #: Documents of an n-gram that are paired at once; more are compared to a pivot.
@@ -77,16 +77,20 @@ class Order:
     """Global order of n-grams: level of the estimated count, then hash."""
 
     def __init__(self, count: np.ndarray):
-        self.mean = count.mean()
-        usual = max(8.0, 2 * self.mean)
-        self.level = np.ceil(np.log2(np.maximum(count, usual) / usual)).astype(np.uint8)
-        self.excess = np.maximum(count - max(1.0, self.mean), 0).astype(np.float32)
+        self.usual = max(4.0, 2 * float(count.mean()))
+        self.level = np.zeros(len(count), np.uint8)
+        while (above := count > self.usual * 2.0 ** int(self.level.max())).any():
+            self.level[above] += np.uint8(1)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """Sorted keys of a set; the top byte is the level."""
-        level = self.level[grams & np.uint64(CELLS - 1)].astype(np.uint64)
+        level = self.level[(grams & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
         return np.sort(level << np.uint64(56) | grams >> np.uint64(8))
 
+    def excess(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated postings, beyond the usual ones, of each key."""
+        return self.usual * (2.0 ** (keys >> np.uint64(56)).astype(np.float64) - 1)
+
 
 def prefix(n: int, percent: int, matches: int) -> int:
     return min(n, n - -(-percent * n // 100) + matches)
@@ -116,11 +120,8 @@ def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
                         prefixes.append(b"")
                         most.append(0)
                         continue
-                    level = o.level[grams & np.uint64(CELLS - 1)].astype(np.uint64)
-                    key = level << np.uint64(56) | grams >> np.uint64(8)
-                    by = np.argsort(key)
-                    key = key[by]
-                    matches = choose_matches(o.excess[(grams[by] & np.uint64(CELLS - 1)).astype(np.int64)], len(key), percent)
+                    key = o.keys(grams)
+                    matches = choose_matches(o.excess(key), len(key), percent)
                     key = key[: prefix(len(key), percent, matches)]
                     prefixes.append(key.tobytes())
                     most.append(matches)
@@ -237,7 +238,7 @@ def _unpacked(c: str, percent: int):
 
 
 def _verified(pairs: DataFrame, d: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, link, far): whether the whole sets are similar, and their Jaccard distance."""
+    """(a, b, link, same): whether the whole sets are similar, and the size of their intersection (null if an id has several texts)."""
 
     def packed_texts(batches):
         for b in batches:
@@ -259,23 +260,23 @@ def _verified(pairs: DataFrame, d: DataFrame, n: int, percent: int) -> DataFrame
             return got
 
         for b in batches:
-            link, far = [], []
+            link, both = [], []
             for i, j, p, q, u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x, y = grams(i, p, u), grams(j, q, v)
                 same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
                 union = len(x) + len(y) - same
                 link.append(100 * same >= percent * union and same > 0)
-                far.append(1 - same / max(union, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(link, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "link", "far"])
+                both.append(same)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(link, pa.bool_()), pa.array(both, pa.int64())], names=["a", "b", "link", "same"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = marked(d.where("id IS NOT NULL"), ids, ["id"]).mapInArrow(packed_texts, "id long, size long, text binary")
     left = texts.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("text").alias("u"))
     right = texts.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("text").alias("v"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "u", "v")
-    got = both.mapInArrow(compare, "a long, b long, link boolean, far double")
+    got = both.mapInArrow(compare, "a long, b long, link boolean, same long")
     # an id with several texts: the nearest counts
-    return materialise(got.groupBy("a", "b").agg(F.max("link").alias("link"), F.min("far").alias("far")), "verified")
+    return materialise(got.groupBy("a", "b").agg(F.max("link").alias("link"), F.when(F.count("*") == 1, F.max("same")).alias("same")), "verified")
 
 
 def _pair(x, y):
@@ -323,8 +324,8 @@ def _undecided(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     those outside meet all.  The crowded n-grams that two documents share form runs in
     their lists; a pair has a row where a run begins or ends, and the places there add up
     to the number of shared ones.  A pair goes on if that number, its uncrowded matches and
-    what lies beyond the prefixes allow the needed overlap, unless two distances to a common
-    pivot differ by more than the pair's may (Jaccard distance is a metric).
+    what lies beyond the prefixes allow the needed overlap, and so do the two intersections
+    with a common pivot: what both have of it, and what both have beside it.
     """
     state = materialise(state, "crowded-classes")
     usual = state.groupBy("gram", "comp").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max_by("comp", F.struct("many", "comp")).alias("usual"))
@@ -335,7 +336,7 @@ def _undecided(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     met = every.where("outside").join(two, "gram").where((F.col("comp") != F.col("comp2")) & (~F.col("outside2") | (F.col("id") < F.col("id2"))))
     # a row that breaks a bound speaks against its pair, wherever the pair's other rows are
     most = F.least("place", "place2") + F.least(F.col("h") - F.col("place"), F.col("h2") - F.col("place2"))
-    apart = F.coalesce(F.abs(F.col("far") - F.col("far2")) > 1 - percent / 100 + 1e-9, F.lit(False))
+    apart = F.coalesce(F.least("same", "same2") + F.least(F.col("n") - F.col("same"), F.col("n2") - F.col("same2")) < needed, F.lit(False))
     met = met.where(_fits(percent) & (most + F.greatest("rest", "rest2") >= needed) & ~apart & (begins | ends))
     place = F.when(F.col("id") < F.col("id2"), F.col("place")).otherwise(F.col("place2"))  # the same document's in every row
     shared = F.when(ends, place + 1).otherwise(0) - F.when(begins, place).otherwise(0)
@@ -368,14 +369,15 @@ def near_duplicates(
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
-        total = np.zeros(CELLS, np.uint64)
+        total = np.zeros(CELLS, np.uint8)  # a task counts to 255
         for b in batches:
             for _, data, off in string_chunks(b.column(0)):
-                grams = np.concatenate(ngram_sets(data, off, n))
-                total += np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint64)
-        yield from packed(total, partition_number())
+                at, many = np.unique(np.concatenate(ngram_sets(data, off, n)) & np.uint64(CELLS - 1), return_counts=True)
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + many, 255)
+        yield from packed(total, partition_number(), np.uint32)
 
-    counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint64, "sum")
+    counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint32, "sum")
     order = ship(spark, Order(counts))  # CELLS cells, whatever the input
     every = materialise(_prepare(d, n, percent, order), "prefixes")
     order.unship()
@@ -403,9 +405,9 @@ def near_duplicates(
     seen = _verified(pairs, d, n, percent)
     links = seen.where("link").select("a", "b")
     comp = components(links)
-    far = F.when(F.col("id") == F.col("id2"), F.lit(0.0)).otherwise(F.col("far")).alias("far")
-    near = hot.join(pivots.select("gram", "id2"), "gram").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
-    near = near.join(seen.select("a", "b", "far"), ["a", "b"], "left").select(*hot.columns, far)
+    same = F.when(F.col("id") == F.col("id2"), F.when(F.col("n") == F.col("n2"), F.col("n"))).otherwise(F.col("same")).cast("long").alias("same")
+    near = hot.join(pivots, "gram").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
+    near = near.join(seen.select("a", "b", "same"), ["a", "b"], "left").select(*hot.columns, same)
     more = _open_pairs(_mixed_pairs(counts, size, percent), comp).unionByName(_undecided(_state(near, comp), counts, percent)).distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
