@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm.bpe import encode
-from wayloom.llm.common import materialise, table
+from wayloom.llm.common import drop_table_files, marked, materialise, table
 from wayloom.llm.decontaminate import find_contamination, is_contaminated
 from wayloom.llm.lines import dedup_lines
 from wayloom.llm.neardup import near_duplicates
@@ -26,21 +26,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in two places or more, of any length, stay in their first place only."""
-    return dedup_lines(docs, most_docs=0, min_chars=1, inside=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Lines found in two places or more, of any length, stay in their first place only; ``n_chars`` follows, if there is one."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of smallest id."""
-    classes = near_duplicates(docs).where("component IS NULL OR component = doc_id").select("doc_id").distinct()
-    return docs.join(classes.withColumnRenamed("doc_id", "_pipeline_kept"), F.col("doc_id").eqNullSafe(F.col("_pipeline_kept")), "left_semi")
+    """One document of each class stays: the one of smallest id (one row, if it is repeated).
+
+    Only rows whose id may be one to drop, or may be repeated, are moved.
+    """
+    classes = near_duplicates(docs).where("doc_id IS NOT NULL AND component IS NOT NULL")
+    held = classes.groupBy("doc_id").agg(F.count("*").alias("_pipeline_rows"), F.min("component").alias("_pipeline_class"))
+    held = materialise(held.where("_pipeline_rows > 1 OR _pipeline_class <> doc_id"), "pipeline-classes")
+    alone = marked(docs, held, ["doc_id"], others=True)
+    some = marked(docs, held, ["doc_id"]).join(held, "doc_id", "left")
+    some = some.where("_pipeline_class IS NULL OR _pipeline_class = doc_id")
+    repeated = some.where("_pipeline_rows > 1").dropDuplicates(["doc_id", "text"])
+    some = some.where("_pipeline_rows IS NULL OR _pipeline_rows = 1").unionByName(repeated)
+    return alone.unionByName(some.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule marks go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated())
-    marked = found.select(F.col("doc_id").alias("_pipeline_marked")).distinct()
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_pipeline_marked")), "left_anti")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), whole=True)
+    return found.where(~is_contaminated()).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if k:
+            drop_table_files(before)
     return STAGES[-1][1](spark, docs, sf_dir)
