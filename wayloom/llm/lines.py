@@ -41,7 +41,9 @@ BLANK = " \t\x0b\x0c\r"
 
 
 def words_of_line(line) -> Column:
-    return F.array_remove(F.split(F.translate(line, BLANK, " " * len(BLANK)), " "), "")
+    line = F.col(line)
+    other = line.contains(BLANK[1]) | line.contains(BLANK[2]) | line.contains(BLANK[3]) | line.contains(BLANK[4])
+    return F.array_remove(F.split(F.when(other, F.translate(line, BLANK, " " * len(BLANK))).otherwise(line), " "), "")
 
 
 def edits(n: Column) -> Column:
@@ -64,30 +66,38 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def probes(n: int) -> list[tuple[int, int, int, int, bool]]:
+    """(length less, threshold, segment, shift, own segment) of all that a line of ``n`` words looks up."""
+
+    def most(words: int) -> int:
+        return max((t for least, t in EDITS if words >= least), default=0)
+
+    out = []
+    for less in range(EDITS[-1][1] + 1):
+        t = most(n - less)
+        if t >= max(less, 1):
+            out += [(less, t, i, shift, less == shift == 0) for i in range(t + 1) for shift in range(max(-i, less - t + i), min(i, less + t - i) + 1)]
+    return out
+
+
 def keys(lines: DataFrame) -> DataFrame:
     """(key, id, index): the segments of each line, and what it probes in shorter lines."""
     words, n = F.col("words"), F.size("words")
+    names = ["less", "t", "i", "shift", "own"]
+    looked = F.lit(None)
+    for least in sorted({least + k for least, _ in EDITS for k in range(EDITS[-1][1] + 1)}):
+        these = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, names, strict=True))) for p in probes(least)))
+        looked = F.when(n >= least, these).otherwise(looked)
 
-    def cut(t: int, less: int) -> Column:
-        length, out = n - less, []
-        for i in range(t + 1):
-            left, right = F.floor(length * i / (t + 1)).cast("int"), F.floor(length * (i + 1) / (t + 1)).cast("int")
-            for shift in range(max(-i, less - t + i), min(i, less + t - i) + 1):
-                key = F.xxhash64(length, F.lit(i), F.slice(words, left + 1 + shift, right - left))
-                out.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("index")))
-        return F.array(*out)
+    def key(p: Column) -> Column:
+        length = n - p.less
+        left, right = F.floor(length * p.i / (p.t + 1)).cast("int"), F.floor(length * (p.i + 1) / (p.t + 1)).cast("int")
+        return F.struct(F.xxhash64(length, p.i, F.slice(words, left + 1 + p.shift, right - left)).alias("key"), p.own.alias("index"))
 
-    parts = []
-    for less in range(EDITS[-1][1] + 1):
-        part = F.array().cast("array<struct<key:bigint,index:boolean>>")
-        for least, t in EDITS:
-            if t >= less:
-                part = F.when(n - less >= least, cut(t, less)).otherwise(part)
-            else:
-                part = F.when(n - less >= least, F.array().cast("array<struct<key:bigint,index:boolean>>")).otherwise(part)
-        parts.append(part)
-    d = lines.select("id", words_of_line("line").alias("words")).where(n >= EDITS[0][0])
-    return d.select("id", F.explode(F.concat(*parts)).alias("k")).select("k.key", "id", "k.index")
+    # an outer explode: of an inner one Spark derives a filter that computes all keys twice;
+    # one small function for all probes: the code of many would be too large to be compiled
+    d = lines.select("id", F.transform(words_of_line("line"), lambda w: F.xxhash64(w)).alias("words"))
+    return d.select("id", F.explode_outer(F.transform(looked, key)).alias("k")).select("k.key", "id", "k.index").where("key IS NOT NULL")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -96,13 +106,14 @@ def shared(rows: DataFrame) -> DataFrame:
     One aggregation, combined before its shuffle, finds the keys; only rows that a map of
     these keys lets through are moved for the rest.
     """
+    rows = materialise(rows, "line-index")
     few = rows.groupBy("key").agg(F.max("index").alias("any"), F.min("id").alias("low"), F.max("id").alias("high"))
     few = materialise(few.where("any AND low < high").select("key"), "line-keys")
     found = marked(rows, few, ["key"]).groupBy("key", "id").agg(F.max("index").alias("index")).join(few, "key")
     found = materialise(found, "line-rows")
     out = materialise(found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key"), "line-shared")
-    drop_table_files(few)
-    drop_table_files(found)
+    for t in (rows, few, found):
+        drop_table_files(t)
     return out
 
 
