@@ -48,6 +48,8 @@ CELLS = 1 << 24
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 #: Documents of an n-gram that are paired at once; more are compared to a pivot.
 PAIRED = 8
+#: Words of 64 bits in a set's parity map.
+SIGNS = 4
 #: Pairs that a task gathers before it counts them; sets that it keeps while verifying.
 HELD_PAIRS, HELD_SETS = 1 << 20, 64
 
@@ -105,17 +107,25 @@ def choose_matches(excess: np.ndarray, n: int, percent: int) -> int:
     return min(best, n)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """How often each of 64 * SIGNS bits is hit, modulo 2: sets differ in as many n-grams as their maps in bits, or more."""
+    odd = np.bincount((mix(grams) & np.uint64(64 * SIGNS - 1)).astype(np.int64), minlength=64 * SIGNS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """(id, n, digest, prefix keys, matches)."""
+    """(id, n, digest, prefix keys, matches, words of the parity map)."""
+    signs = [f"s{k}" for k in range(SIGNS)]
 
     def run(batches):
         o = order.value
         for b in batches:
             for i, data, off in string_chunks(b.column(1)):
-                size, digest, prefixes, most = [], [], [], []
+                size, digest, prefixes, most, odd = [], [], [], [], []
                 for grams in ngram_sets(data, off, n):
                     size.append(len(grams))
                     digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                    odd.append(parity(grams))
                     if not len(grams):
                         prefixes.append(b"")
                         most.append(0)
@@ -126,11 +136,14 @@ def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
                     prefixes.append(key.tobytes())
                     most.append(matches)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, len(off) - 1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(most, pa.int32())],
-                    names=["id", "n", "digest", "prefix", "matches"],
-                )
+                    [
+                        b.column(0).slice(i, len(off) - 1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(most, pa.int32()),
+                        *(pa.array(c) for c in np.stack(odd, axis=1)),
+                    ],
+                    names=["id", "n", "digest", "prefix", "matches", *signs],
+                )
 
-    return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, matches int")
+    return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, matches int, " + ", ".join(f"{c} long" for c in signs))
 
 
 def _postings(sets: DataFrame, crowded: bool) -> DataFrame:
@@ -325,7 +338,8 @@ def _undecided(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     their lists; a pair has a row where a run begins or ends, and the places there add up
     to the number of shared ones.  A pair goes on if that number, its uncrowded matches and
     what lies beyond the prefixes allow the needed overlap, and so do the two intersections
-    with a common pivot: what both have of it, and what both have beside it.
+    with a common pivot (what both have of it, and what both have beside it) and the parity
+    maps of the whole sets (n-grams that only one of the two has).
     """
     state = materialise(state, "crowded-classes")
     usual = state.groupBy("gram", "comp").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max_by("comp", F.struct("many", "comp")).alias("usual"))
@@ -337,6 +351,8 @@ def _undecided(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     # a row that breaks a bound speaks against its pair, wherever the pair's other rows are
     most = F.least("place", "place2") + F.least(F.col("h") - F.col("place"), F.col("h2") - F.col("place2"))
     apart = F.coalesce(F.least("same", "same2") + F.least(F.col("n") - F.col("same"), F.col("n2") - F.col("same2")) < needed, F.lit(False))
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}2"))) for k in range(SIGNS)), F.lit(0))
+    apart = apart | F.coalesce(differ > F.col("n") + F.col("n2") - 2 * needed, F.lit(False))
     met = met.where(_fits(percent) & (most + F.greatest("rest", "rest2") >= needed) & ~apart & (begins | ends))
     place = F.when(F.col("id") < F.col("id2"), F.col("place")).otherwise(F.col("place2"))  # the same document's in every row
     shared = F.when(ends, place + 1).otherwise(0) - F.when(begins, place).otherwise(0)
@@ -396,6 +412,10 @@ def near_duplicates(
         F.count("*").over(whole).alias("h"), (length - F.count("*").over(whole)).alias("cold"), (F.col("n") - length).alias("rest"),
     )
     hot = materialise(hot.withColumn("place", F.col("place") - 1), "crowded")
+    # the parity maps of crowded documents; none where an id has several texts
+    signs = chosen.select("id", "n", *(f"s{k}" for k in range(SIGNS))).join(hot.select("id", "n").distinct(), ["id", "n"])
+    signs = signs.groupBy("id", "n").agg(*(F.when(F.count("*") == 1, F.max(f"s{k}")).alias(f"s{k}") for k in range(SIGNS)))
+    signs = materialise(signs, "parity")
     drop_table_files(met)
     drop_table_files(chosen)
     size = materialise(hot.groupBy("id").agg(F.max("h").alias("h")), "crowded-sizes")
@@ -408,13 +428,13 @@ def near_duplicates(
     same = F.when(F.col("id") == F.col("id2"), F.when(F.col("n") == F.col("n2"), F.col("n"))).otherwise(F.col("same")).cast("long").alias("same")
     near = hot.join(pivots, "gram").withColumns({"a": F.least("id", "id2"), "b": F.greatest("id", "id2")})
     near = near.join(seen.select("a", "b", "same"), ["a", "b"], "left").select(*hot.columns, same)
-    more = _open_pairs(_mixed_pairs(counts, size, percent), comp).unionByName(_undecided(_state(near, comp), counts, percent)).distinct()
+    more = _open_pairs(_mixed_pairs(counts, size, percent), comp).unionByName(_undecided(_state(near, comp).join(signs, ["id", "n"]), counts, percent)).distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         again = _verified(more, d, n, percent)
         comp = components(links.unionByName(again.where("link").select("a", "b")))
         drop_table_files(again)
-    for t in (seen, pairs, more, pivots, size, hot, counts):
+    for t in (seen, pairs, more, pivots, size, hot, counts, signs):
         drop_table_files(t)
     classes = first.join(comp.select(F.col("node").alias("first"), "comp"), "first", "left")
     classes = classes.select("digest", F.coalesce("comp", "first").alias("component"))
