@@ -127,6 +127,10 @@ def test_searches_agree():
     for t in range(1, 16):
         d = net.shortest(0, t)[0]
         assert net.shortest(0, t, guess=net.straight(t))[0] == pytest.approx(d)
+        found = net.shortest(0, t)[0]
+        if t:  # a route as long as the bound: A* keeps it, the plain search does not
+            assert net.shortest(0, t, bound=found, guess=lambda v: 0.0)[0] == found
+            assert net.shortest(0, t, bound=found) is None
         assert net.bellman_ford(0, net.length)[0][t] == pytest.approx(d)
         width = net.widest(0, t, net.length)
         assert width[0] == pytest.approx(max(min(net.length[i] for i in p) for p in simple_paths(grid_view(net), 9) if net.src[p[0]] == 0 and net.dst[p[-1]] == t))

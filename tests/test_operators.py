@@ -56,6 +56,18 @@ def test_residual_and_degeneracy_and_prune(spark):
     assert sorted(r.b for r in fl.top_weighted(ties, 2).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("coefs,n", [([1, 1, 2], 2), ([2, 1, 1], 2), ([1, 3, 1, 2, 1, 3, 2, 2], 4), ([1, 1, 1], 5), ([2, 2, 2, 3, 2], 3)])
+def test_top_weighted_ties(spark, coefs, n):
+    held = []
+    for b, c in enumerate(coefs):
+        if len(held) < n:
+            held.append((c, b))
+        elif c > min(held)[0]:
+            held[held.index(min(held))] = (c, b)
+    d = spark.createDataFrame([(b, float(c)) for b, c in enumerate(coefs)], "b long, coef double")
+    assert [(r.coef, r.b) for r in fl.top_weighted(d, n).collect()] == sorted(held)
+
+
 def test_field_plus_decomposition_is_whole(spark):
     f = spark.createDataFrame([(k, float(k)) for k in range(5)], "e long, value double")
     b = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 2)], "b long, pos long, e long")
@@ -175,7 +187,11 @@ def test_experiment_grid():
     assert ex.runs(s | {"runMode": "combinations"})[1]["problemInstance"] == {"epsilon": 25, "pathSelect": {"seed": 2}}
     assert ex.runs(s | {"runMode": "single"}) == [{"name": "x", "problemInstance": {"epsilon": 1}}]
     assert ex.get_path(ex.set_path({}, "a.b", 1), "a.b") == 1 and ex.delete_path({"a": {"b": 1}}, "a.b") == {"a": {}}
-    assert ex.select_ids(list("abcdefghij"), 3, "fraction", 0.25) == ex.select_ids(list("abcdefghij"), 3, "fixed", 2)
+    for share, number in (("fraction", "fixed"), ("percentage", "count")):
+        assert len(ex.select_ids(list("abcdefghij"), 3, share, 0.25)) == 2
+        assert ex.select_ids(list("abcdefghij"), 3, share, 0.25) == ex.select_ids(list("abcdefghij"), 3, number, 2)
+    with pytest.raises(ValueError):
+        ex.select_ids([1, 2], 3, "other", 1)
     assert ex.parse_result_name("it=3-0_newbasis-alg.txt") == {"it": 3, "step": 0, "what": "newbasis", "alg": "alg"}
 
 

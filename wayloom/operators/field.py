@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -105,8 +105,21 @@ def by_coefficient(coefs: DataFrame) -> DataFrame:
 
 
 def top_weighted(coefs: DataFrame, n: int) -> DataFrame:
-    """The n largest coefficients; of equal ones, the lowest b.  TakeOrdered keeps n rows a task."""
-    return by_coefficient(coefs).limit(n)
+    """The n largest coefficients, smallest first.
+
+    Coefficients enter in the order of b; a larger one replaces the lowest b among the
+    smallest, an equal one does not enter when n are held.  So of those that equal the
+    n-th largest, the ones among the first n rows that are as large come into question, and
+    each larger coefficient takes the place of the lowest b.  TakeOrdered keeps n rows a task.
+    """
+    got = by_coefficient(coefs).limit(n).agg(F.count("*").alias("n"), F.min("coef").alias("least"))
+    above = coefs.join(F.broadcast(got), F.col("coef") >= F.col("least"))  # one row
+    entered = above.orderBy("b").limit(n).where("coef = least")
+    larger = above.where("coef > least")
+    room = larger.agg(F.count("*").alias("taken"))  # fewer than n
+    ranked = entered.withColumn("place", F.row_number().over(Window.orderBy(F.desc("b"))))  # n rows at most
+    kept = ranked.join(F.broadcast(room), F.col("place") <= F.lit(n) - F.col("taken"))
+    return larger.select(*coefs.columns).unionByName(kept.select(*coefs.columns)).orderBy("coef", "b")
 
 
 def extend_basis(*parts: DataFrame) -> DataFrame:

@@ -69,10 +69,12 @@ def runs(settings: dict) -> list[dict]:
 
 
 def select_ids(ids: list, seed: int, mode: str, value: float) -> list:
-    """A seeded shuffle of all ids; ``fraction`` takes that share, ``fixed`` that number."""
+    """A seeded shuffle of all ids; ``percentage`` (or ``fraction``) takes that share, ``count`` (or ``fixed``) that number."""
+    if mode not in ("percentage", "fraction", "count", "fixed"):
+        raise ValueError(f"unknown selection mode {mode!r}")
     order = list(range(len(ids)))
     random.Random(seed).shuffle(order)
-    n = int(value * len(ids)) if mode == "fraction" else int(value)
+    n = int(value * len(ids)) if mode in ("percentage", "fraction") else int(value)
     return [ids[k] for k in order[:n]]
 
 

@@ -519,7 +519,15 @@ def prune_basis(spark: SparkSession, d: str) -> DataFrame:
     return fl.prune(basis(spark, d)[1], 0.5)
 
 
-@query("top_weighted", f"{ALL}, {BASIS} SELECT b, coef FROM cof ORDER BY coef DESC, b LIMIT 25")
+@query(
+    "top_weighted",
+    f"""{ALL}, {BASIS},
+    lst AS (SELECT min(coef) AS c FROM (SELECT coef FROM cof ORDER BY coef DESC LIMIT 25)),
+    ent AS (SELECT b, coef FROM (SELECT b, coef, row_number() OVER (ORDER BY b) AS r FROM cof, lst WHERE coef >= c), lst WHERE r <= 25 AND coef = c)
+    SELECT b, coef FROM cof, lst WHERE coef > c
+    UNION ALL SELECT b, coef FROM (SELECT b, coef, row_number() OVER (ORDER BY b DESC) AS r FROM ent)
+    WHERE r <= 25 - (SELECT count(*) FROM cof, lst WHERE coef > c)""",
+)
 def top_weighted(spark: SparkSession, d: str) -> DataFrame:
     return fl.top_weighted(basis(spark, d)[1], 25)
 
@@ -694,11 +702,12 @@ def session_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "seeded_selection",
-    """SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey <= 400)""",
+    """SELECT floor(0.05 * count(DISTINCT l_orderkey))::BIGINT AS n, true AS known, true AS again FROM lineitem""",
 )
 def seeded_selection(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded shuffle takes every path if asked for all of them."""
+    """A twentieth of all paths by a seeded shuffle: different ones, all known, the same again for the same seed."""
     from . import experiment as ex
 
-    ids = sorted(r.path_id for r in fx.paths(spark, d).where("path_id <= 400").select("path_id").distinct().collect())
-    return spark.createDataFrame([(len(set(ex.select_ids(ids, 7, "fraction", 1.0))),)], "n long")
+    ids = sorted(r.path_id for r in fx.paths(spark, d).select("path_id").distinct().collect())
+    got = ex.select_ids(ids, 7, "percentage", 0.05)
+    return spark.createDataFrame([(len(set(got)), set(got) <= set(ids), got == ex.select_ids(ids, 7, "percentage", 0.05))], "n long, known boolean, again boolean")
