@@ -113,13 +113,13 @@ class Index:
             for a in self.anchors[t]:
                 proposed = by_word[bound[words[a]] : bound[words[a] + 1]] - a
                 start = proposed if start is None else np.intersect1d(start, proposed, assume_unique=True)
-            start = start[(start >= 0)] if start is not None else np.zeros(0, np.int64)
-            if not len(start):
+            if start is None or not len(start):
                 continue
+            # words that are not mandatory may lie beyond either end of the text
             at = start[:, None] + np.arange(len(words))[None, :]
-            inside = at < len(ids)
-            at = np.minimum(at, len(ids) - 1)
-            anchor_doc = doc_of[np.minimum(start + self.anchors[t][0], len(ids) - 1)]
+            inside = (at >= 0) & (at < len(ids))
+            at = np.clip(at, 0, len(ids) - 1)
+            anchor_doc = doc_of[start + self.anchors[t][0]]
             same = inside & (doc_of[at] == anchor_doc[:, None]) & (ids[at] == words[None, :])
             score = (same * self.weight[t]).sum(1) / self.weight[t].sum()
             ok = same[:, self.must[t]].all(1) & (score >= self.templates[t].share - 1e-9)
