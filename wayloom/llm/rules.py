@@ -55,10 +55,9 @@ def mask_of(names: tuple[str, ...]) -> int:
 
 
 def repeat_words(words: Column, n: Column) -> Column:
-    """Words inside any 3-word window that the text has twice or more.
+    """Sorted hashes of the 3-word windows, each shifted to leave room for its place, and the bits of a place.
 
-    Each window's hash is shifted to leave room for its place, so one sort of plain longs
-    brings equal windows together; of the places found, overlapping windows count once.
+    One sort of plain longs brings equal windows together; their words are compared after it.
     """
     bits = F.ceil(F.log2(n + F.lit(2))).cast("int")
     keyed = F.transform(
@@ -92,6 +91,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         keyed.alias("keyed"),
         bits.alias("bits"),
+        "words",
     )
 
     def high(c: Column) -> Column:
@@ -103,8 +103,12 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     d = d.withColumn("same", same)
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    place = F.sort_array(F.transform("same", lambda k: k.bitwiseAND(low)))
-    d = d.withColumn("place", place).drop("keyed", "same", "bits")
+    # hashes of few bits may agree by chance, so the words decide (no word holds a blank)
+    window = F.transform("same", lambda k: F.struct(F.array_join(F.slice("words", (k.bitwiseAND(low) + 1).cast("int"), F.lit(3)), " ").alias("w"), k.bitwiseAND(low).alias("p")))
+    d = d.withColumn("window", F.sort_array(window))
+    at = F.col("window")
+    equal = F.filter(at, lambda x, i: F.coalesce(x.w == F.get(at, i + 1).w, F.lit(False)) | ((i > 0) & F.coalesce(x.w == F.get(at, i - 1).w, F.lit(False))))
+    d = d.withColumn("place", F.sort_array(F.transform(equal, lambda x: x.p))).drop("keyed", "same", "bits", "window", "words")
     covered = F.aggregate(
         F.transform("place", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(p - F.get(F.col("place"), i - 1), F.lit(3).cast("long")))),
         F.lit(0).cast("long"),
