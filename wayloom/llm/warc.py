@@ -119,16 +119,17 @@ def inflated(stream):
 
 
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(id, url, html, refers_to): payloads meet by digest without being shuffled for it."""
+    """(id, url, html, refers_to): payloads meet by their digests; then pages move once, to be marked."""
     p = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     )
-    digest = p.where(F.octet_length("html") >= min_bytes).select("id", F.sha1("html").alias("digest"))
+    both = F.concat_ws(":", F.sha1("html"), F.sha2("html", 256))  # colliding SHA-1 payloads are public
+    digest = p.where(F.octet_length("html") >= min_bytes).select("id", both.alias("digest"))
     first = digest.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = digest.join(first, "digest").where(F.col("id") != F.col("refers_to")).distinct()
-    return p.withColumn("digest", F.sha1("html")).join(again, ["id", "digest"], "left").drop("digest")
+    return p.withColumn("digest", both).join(again, ["id", "digest"], "left").drop("digest")
 
 
 def write_archives(
