@@ -316,6 +316,36 @@ def test_dedup_removes_later_places_of_lines(spark):
     assert lines.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_long_words_of_equal_polynomials_differ():
+    word = "a"
+    for _ in range(11):  # the Thue-Morse word and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    data = f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}".encode()
+    *_, h = common.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), common.alphanumeric())
+    assert h[0] == h[2] != h[1]
+
+
+def test_licenses_do_not_depend_on_the_partition(spark):
+    part, full = "under the apache license version 2 0 only", "licensed under the apache license version 2 0"
+    texts = [part, "x", part, "by " + full, part, "", full]
+    found = [{r.doc_id: [m.label for m in r.matches] for r in licenses.scan_licenses(docs(spark, texts).repartition(n)).collect()} for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+    assert {k for k, v in found[0].items() if v == ["apache-2.0"]} == {0, 2, 3, 4, 6}
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    rows = np.abs(rng.normal(size=(40, quality.FEATURES))).astype(np.float32) * (rng.random((40, quality.FEATURES)) < 0.02)
+    labels = np.array([0, 1] * 18 + [1] * 4)
+    model = quality.Model(rows, labels)
+    own = model.unit(model.weighted(rows[:7].copy()) @ model.project).astype(float)
+    for got, v in zip(model.score(rows[:7].copy()), own, strict=True):
+        near = sorted(((float(v @ u), int(y)) for u, y in zip(model.vectors.astype(float), labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(c, 0) ** quality.SHARPNESS for c, _ in near]
+        want = (sum(w * y for w, (_, y) in zip(weight, near, strict=True)) + quality.PRIOR * model.prior) / (sum(weight) + quality.PRIOR)
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_very_long_and_very_common_lines(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(k, f"{long.replace('w77 ', f'x{k} ')}\nthe same line of nine words in every document\n{k}") for k in range(12)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from contextlib import contextmanager
 
@@ -87,6 +88,8 @@ def ascii_lower(c: Column) -> Column:
 #: Odd 64-bit constants of the word hash.
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Words of more bytes are hashed in another way.
+LONG = 256
 #: Texts are handled in groups of whole texts of about this many bytes.
 CHUNK_BYTES = 2 << 20
 
@@ -168,6 +171,8 @@ def words_of(data: np.ndarray, off: np.ndarray, kind: np.ndarray, hashed: bool =
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     h = (total[e] - total[s]) * down[s]
+    for k in np.flatnonzero(e - s > LONG):  # a polynomial modulo 2**64 is no good hash of very long words
+        h[k] = int.from_bytes(hashlib.blake2b(low[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
     return s, e, first, mix(h ^ ((e - s).astype(np.uint64) * np.uint64(MIX2)))
 
 
