@@ -125,6 +125,17 @@ def paired(rows: DataFrame, indexed: Column) -> DataFrame:
     return two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def sign(words: Column) -> Column:
+    """Parity map of a line's words: an edit changes two bits at most."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(w, F.lit(3)), F.lit(64)).cast("int"))))
+
+
+def apart(one: Column, two: Column, size: Column, size2: Column) -> Column:
+    """Whether two parity maps differ in more bits than the allowed edits change."""
+    return F.bit_count(one.bitwiseXOR(two)) > 2 * edits(F.least(size, size2))
+
+
 def bags(texts: DataFrame) -> DataFrame:
     """(key, id, size, sign): the words of a line dealt by hash into 2 t + 1 parts, for each threshold t that applies."""
 
@@ -139,8 +150,7 @@ def bags(texts: DataFrame) -> DataFrame:
         own = (n >= least) & (n - t < above)
         part = [F.xxhash64(F.lit(t), F.lit(j), F.sort_array(F.filter(words, dealt(j, 2 * t + 1)))) for j in range(2 * t + 1)]
         parts.append(F.when(own, F.array(*part)).otherwise(F.array().cast("array<bigint>")))
-    sign = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(3)), F.lit(64)).cast("int"))))
-    d = texts.select("id", words_of_line("line").alias("words")).select("id", n.alias("size"), sign.alias("sign"), F.concat(*parts).alias("bags"))
+    d = texts.select("id", words_of_line("line").alias("words")).select("id", n.alias("size"), sign(words).alias("sign"), F.concat(*parts).alias("bags"))
     return d.select("id", "size", "sign", F.explode("bags").alias("key"))
 
 
@@ -197,10 +207,10 @@ def near(size: Column, size2: Column) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
-    words = texts.select("id", words_of_line("line").alias("words"))
-    one = words.select(F.col("id").alias("a"), F.col("words").alias("x"))
-    two = words.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").where(near(F.size("x"), F.size("y")))
+    words = texts.select("id", words_of_line("line").alias("words")).withColumn("sign", sign(F.col("words")))
+    one = words.select(F.col("id").alias("a"), F.col("words").alias("x"), F.col("sign").alias("p"))
+    two = words.select(F.col("id").alias("b"), F.col("words").alias("y"), F.col("sign").alias("q"))
+    both = pairs.join(one, "a").join(two, "b").where(near(F.size("x"), F.size("y")) & ~apart(F.col("p"), F.col("q"), F.size("x"), F.size("y")))
     swap = F.size("x") <= F.size("y")
     short, long = F.when(swap, F.col("x")).otherwise(F.col("y")), F.when(swap, F.col("y")).otherwise(F.col("x"))
     both = both.select("a", "b", short.alias("s"), long.alias("l"))
@@ -231,9 +241,8 @@ def left_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
     usual = rows.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("usual"))
     every = materialise(rows.join(usual, "key").withColumn("outside", F.col("comp") != F.col("usual")).drop("usual", "n"), "line-outside")
     two = every.select("key", *(F.col(c).alias(f"{c}2") for c in every.columns if c != "key"))
-    apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) > 2 * edits(F.least("size", "size2"))
     met = every.where("outside").join(two, "key").where((F.col("comp") != F.col("comp2")) & (~F.col("outside2") | (F.col("id") < F.col("id2"))))
-    met = met.where(near(F.col("size"), F.col("size2")) & ~apart)
+    met = met.where(near(F.col("size"), F.col("size2")) & ~apart(F.col("sign"), F.col("sign2"), F.col("size"), F.col("size2")))
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
