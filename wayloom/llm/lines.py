@@ -89,15 +89,14 @@ def keys(lines: DataFrame) -> DataFrame:
         these = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, names, strict=True))) for p in probes(least)))
         looked = F.when(n >= least, these).otherwise(looked)
 
-    def key(p: Column) -> Column:
-        length = n - p.less
-        left, right = F.floor(length * p.i / (p.t + 1)).cast("int"), F.floor(length * (p.i + 1) / (p.t + 1)).cast("int")
-        return F.struct(F.xxhash64(length, p.i, F.slice(words, left + 1 + p.shift, right - left)).alias("key"), p.own.alias("index"))
-
-    # an outer explode: of an inner one Spark derives a filter that computes all keys twice;
-    # one small function for all probes: the code of many would be too large to be compiled
+    # an outer explode: of an inner one Spark derives a filter that splits all lines twice; keys
+    # are made of its rows, as functions of a column are compiled and those within an array are not
     d = lines.select("id", F.transform(words_of_line("line"), lambda w: F.xxhash64(w)).alias("words"))
-    return d.select("id", F.explode_outer(F.transform(looked, key)).alias("k")).select("k.key", "id", "k.index").where("key IS NOT NULL")
+    d = d.select("id", "words", F.explode_outer(looked).alias("p")).where("p.t IS NOT NULL")
+    i, parts, length = F.col("p.i"), F.col("p.t") + 1, n - F.col("p.less")
+    left, right = F.floor(length * i / parts).cast("int"), F.floor(length * (i + 1) / parts).cast("int")
+    key = F.xxhash64(length, i, F.slice(words, left + 1 + F.col("p.shift"), right - left))
+    return d.select(key.alias("key"), "id", F.col("p.own").alias("index"))
 
 
 def shared(rows: DataFrame) -> DataFrame:
