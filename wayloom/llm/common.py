@@ -57,7 +57,7 @@ def drop_table_files(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of the map that says which rows may be wanted (a word of 64 bits a broadcast row, 1 M rows at most).
+#: Bits of the map that says which rows may be wanted, a power of two (a word of 64 bits a broadcast row, 1 M rows at most).
 MARKS = 1 << 26
 
 
@@ -69,8 +69,9 @@ def marked(rows: DataFrame, wanted: DataFrame, columns: list[str], others: bool
     """
 
     def place(d: DataFrame) -> DataFrame:
-        h = F.pmod(F.xxhash64(*columns), F.lit(MARKS))
-        return d.withColumns({"mark_word": F.shiftright(h, 6), "mark_bit": F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))})
+        # no division: its result may be null for Spark, which then hashes every row once more to look
+        h = F.xxhash64(*columns).bitwiseAND(F.lit(MARKS - 1))
+        return d.withColumns({"mark_word": F.shiftright(h, 6), "mark_bit": F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))})
 
     bits = place(wanted.select(*columns)).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits"))
     d = place(rows).join(F.broadcast(bits), "mark_word", "left" if others else "inner")  # MARKS bits
