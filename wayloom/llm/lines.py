@@ -282,8 +282,13 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_table_files(classes)
     name = ["class", "class2"]
     by_doc = places.groupBy(*name, "doc").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    spread = by_doc.groupBy(*name).agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"), F.max(F.col("pos") < F.col("last")).alias("again"))
-    spread = spread.where("n_docs > 1 OR again").select(*name, "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    # a null id comes first; numbers of fixed size only, so that no class is sorted
+    none = F.min(F.when(F.col("doc").isNull(), F.col("pos")))
+    spread = by_doc.groupBy(*name).agg(
+        F.count("*").alias("n_docs"), F.max(F.col("pos") < F.col("last")).alias("again"), none.alias("none"), F.min("doc").alias("low"), F.min_by("pos", "doc").alias("at")
+    )
+    first_doc = F.when(F.col("none").isNull(), F.col("low")).alias("first_doc")
+    spread = spread.where("n_docs > 1 OR again").select(*name, "n_docs", first_doc, F.coalesce("none", "at").alias("first_pos"))
     spread = materialise(spread, "line-spread")
     out = materialise(marked(places, spread, name).join(spread, name).drop(*name), "line-repeats")
     drop_table_files(places)
