@@ -92,7 +92,7 @@ MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Words of more bytes are hashed in another way.
 LONG = 256
 #: Texts are handled in groups of whole texts of about this many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def space_separated() -> np.ndarray:
