@@ -111,7 +111,7 @@ def test_index_finds_every_window(seed):
     texts = [" ".join(rng.choice([*voc, "zz", "Q1"]) for _ in range(rng.randrange(0, 60))) for _ in range(20)] + ["a " * 50, ""]
     shard = decontaminate.Shard(phrases)
     for i, data, off in string_chunks(pa.array(texts)):
-        shard.add(pa.array(range(len(texts))).slice(i, len(off) - 1), data, off)
+        shard.add(pa.record_batch({"id": range(len(texts))}).slice(i, len(off) - 1), data, off)
     for r, t in zip(shard.results().to_pylist(), texts, strict=True):
         n, hit, names = brute_hits(t, items, window)
         assert (r["n_words"], r["n_hit"], r["items"]) == (n, len(hit), names)
