@@ -14,6 +14,7 @@ from ..operators import nets
 from ..operators import routes as rt
 from ..operators import trajectory as tr
 from . import fixtures as fx
+from .experiment import sample_rows
 from .fixtures import with_tables as using
 from .registry import query
 
@@ -113,11 +114,11 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def problem(spark: SparkSession, d: str) -> dc.Problem:
-    """The field of all paths, and a few of their staircases as representatives."""
-    paths = fx.paths(spark, d).where("path_id % 97 = 3")
-    lines = nw.path_polyline(paths.where("path_id % 291 = 3"), fx.edges(spark), fx.vertices(spark))
-    longer = lines.groupBy("traj_id").count().where("count >= 4").orderBy("traj_id").limit(8)
-    lines = lines.join(longer.select("traj_id"), "traj_id", "left_semi")
+    """The field of all paths; the representatives are a seeded selection of paths of three edges and more."""
+    paths = fx.paths(spark, d)
+    longer = paths.groupBy("path_id").count().where("count >= 3").select("path_id")
+    chosen = fl.representatives(paths, sample_rows(longer, 8, 7))
+    lines = nw.path_polyline(chosen, fx.edges(spark), fx.vertices(spark))
     flow = fl.field_from_paths(fx.edges(spark), paths)
     return dc.Problem(fx.edges(spark), fx.vertices(spark), flow, lines, 110.0)
 
@@ -135,7 +136,7 @@ def _decomposition(name: str, **options):
     return run
 
 
-TRIVIAL = f"""{using("vert", "edg", "pth")}, p AS (SELECT * FROM pth WHERE path_id % 97 = 3), f AS (SELECT e, sum(value) AS v FROM p GROUP BY e)
+TRIVIAL = f"""{using("vert", "edg", "pth")}, f AS (SELECT e, sum(value) AS v FROM pth GROUP BY e)
 SELECT count(*) AS basis_size, sum(v)::DOUBLE AS weight, 0.0::DOUBLE AS objective, sum(v * v)::DOUBLE AS at_start FROM f"""
 query("decompose_trivial", TRIVIAL)(_decomposition("trivial"))
 query("decompose_widest")(_decomposition("widest_path", iterations=2))

@@ -268,12 +268,13 @@ def same_paths(spark: SparkSession, d: str) -> DataFrame:
 
 # --- spatial lookups ------------------------------------------------------------------
 
-BOX = """box AS (SELECT pos AS box_id, x AS x_min, x + 150 AS x_max, y AS y_min, y + 50 AS y_max FROM pts WHERE traj_id = '1')"""
+BOX = """box AS (SELECT traj_id || '/' || pos AS box_id, x AS x_min, x + 150 AS x_max, y AS y_min, y + 50 AS y_max FROM pts)"""
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.points(spark, d).where("traj_id = '1'")
-    return p.select(F.col("pos").alias("box_id"), F.col("x").alias("x_min"), (F.col("x") + 150).alias("x_max"), F.col("y").alias("y_min"), (F.col("y") + 50).alias("y_max"))
+    """A box at every point of every walk."""
+    p = fx.points(spark, d)
+    return p.select(F.concat_ws("/", "traj_id", F.col("pos").cast("string")).alias("box_id"), F.col("x").alias("x_min"), (F.col("x") + 150).alias("x_max"), F.col("y").alias("y_min"), (F.col("y") + 50).alias("y_max"))
 
 
 @query(
@@ -299,14 +300,15 @@ def disk_vertices(spark: SparkSession, d: str) -> DataFrame:
     return sp.vertices_in_disks(p, fx.vertices(spark)).select("disk_id.traj_id", "disk_id.pos", "v")
 
 
-SEG = """sgm AS (
+SEGMENTS = """sgm AS (
   SELECT traj_id, pos AS seg, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM pts WINDOW w AS (PARTITION BY traj_id ORDER BY pos)),
 sgs AS (SELECT * FROM sgm WHERE bx IS NOT NULL),
 nea AS (
   SELECT traj_id, seg, v, x, y, ax, ay, bx, by_, CASE WHEN ax = bx AND ay = by_ THEN 0.0 ELSE
     least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1) END AS f
-  FROM sgs JOIN vert ON x BETWEEN least(ax, bx) - 40 AND greatest(ax, bx) + 40 AND y BETWEEN least(ay, by_) - 40 AND greatest(ay, by_) + 40),
-hit AS (SELECT * FROM nea WHERE sqrt(pow(x - (ax + f * (bx - ax)), 2) + pow(y - (ay + f * (by_ - ay)), 2)) <= 40)"""
+  FROM sgs JOIN vert ON x BETWEEN least(ax, bx) - {r} AND greatest(ax, bx) + {r} AND y BETWEEN least(ay, by_) - {r} AND greatest(ay, by_) + {r}),
+hit AS (SELECT * FROM nea WHERE sqrt(pow(x - (ax + f * (bx - ax)), 2) + pow(y - (ay + f * (by_ - ay)), 2)) <= {r})"""
+SEG, NARROW = SEGMENTS.format(r=40), SEGMENTS.format(r=0.9)  # narrow buffers of all walks leave vertices outside
 
 
 @query("buffer_vertices", f"{using('pts', 'vert')}, {SEG} SELECT DISTINCT traj_id, v FROM hit")
@@ -314,9 +316,9 @@ def buffer_vertices(spark: SparkSession, d: str) -> DataFrame:
     return sp.buffers(fx.points(spark, d), fx.vertices(spark), 40.0)
 
 
-@query("outside_buffers", f"{using('pts', 'vert')}, {SEG} SELECT v, x, y FROM vert WHERE v NOT IN (SELECT v FROM hit WHERE traj_id IN ('1', '2', '3'))")
+@query("outside_buffers", f"{using('pts', 'vert')}, {NARROW} SELECT v, x, y FROM vert WHERE v NOT IN (SELECT v FROM hit)")
 def outside_buffers(spark: SparkSession, d: str) -> DataFrame:
-    return sp.outside_buffers(fx.points(spark, d).where("traj_id IN ('1', '2', '3')"), fx.vertices(spark), 40.0)
+    return sp.outside_buffers(fx.points(spark, d), fx.vertices(spark), 0.9)
 
 
 @query(
@@ -410,14 +412,13 @@ def endpoint_cells(spark: SparkSession, d: str) -> DataFrame:
 # --- fields ---------------------------------------------------------------------------
 
 FIELD = """fld AS (SELECT edg.e, coalesce(sum(value), 0.0)::DOUBLE AS value FROM edg LEFT JOIN pth USING (e) GROUP BY edg.e)"""
-BASIS = """bas AS (SELECT path_id AS b, pos, e FROM pth WHERE path_id % 10 = 0),
-cof AS (SELECT DISTINCT path_id AS b, (path_id % 7) / 4.0::DOUBLE AS coef FROM pth WHERE path_id % 10 = 0)"""
+BASIS = """bas AS (SELECT path_id AS b, pos, e FROM pth),
+cof AS (SELECT DISTINCT path_id AS b, (path_id % 7) / 4.0::DOUBLE AS coef FROM pth)"""
 ALL = using("vert", "edg", "pth")
 
 
 def basis(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = fx.paths(spark, d).where("path_id % 10 = 0")
-    b = p.select(F.col("path_id").alias("b"), "pos", "e")
+    b = fx.paths(spark, d).select(F.col("path_id").alias("b"), "pos", "e")
     return b, b.select("b").distinct().withColumn("coef", (F.col("b") % 7) / 4.0)
 
 
@@ -455,12 +456,12 @@ def objective(spark: SparkSession, d: str) -> DataFrame:
     return fl.square_length(residual(spark, d))
 
 
-@query("residual_order", f"{RESIDUAL} SELECT e, value, row_number() OVER (ORDER BY value DESC, e) AS place FROM rsd WHERE value >= 0 ORDER BY value DESC, e LIMIT 100")
+@query("residual_order", f"{RESIDUAL} SELECT e, value, row_number() OVER (ORDER BY value DESC, e) AS place FROM rsd WHERE value >= 0")
 def residual_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    top = fl.residual_order(residual(spark, d)).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "e")).cast("long"))
+    order = fl.residual_order(residual(spark, d))  # one row an edge of the grid
+    return order.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "e")).cast("long"))
 
 
 @query(
@@ -492,12 +493,11 @@ def demand_supply(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "uncapturable_flow",
-    f"""{using("pts", "vert", "edg", "pth")}, {FIELD}, {SEG}, near AS (SELECT DISTINCT v FROM hit WHERE traj_id IN ('1', '2', '3'))
-SELECT sum(value) AS uncapturable FROM fld JOIN edg USING (e) WHERE src NOT IN (SELECT v FROM near) AND dst NOT IN (SELECT v FROM near)""",
+    f"""{using("pts", "vert", "edg", "pth")}, {FIELD}, {NARROW}, near AS (SELECT DISTINCT v FROM hit)
+SELECT coalesce(sum(value), 0.0)::DOUBLE AS uncapturable FROM fld JOIN edg USING (e) WHERE src NOT IN (SELECT v FROM near) AND dst NOT IN (SELECT v FROM near)""",
 )
 def uncapturable_flow(spark: SparkSession, d: str) -> DataFrame:
-    lines = fx.points(spark, d).where("traj_id IN ('1', '2', '3')")
-    return sp.uncapturable(field_from_paths(spark, d), fx.edges(spark), fx.vertices(spark), lines, 40.0)
+    return sp.uncapturable(field_from_paths(spark, d), fx.edges(spark), fx.vertices(spark), fx.points(spark, d), 0.9)
 
 
 @query(
@@ -532,9 +532,9 @@ def top_weighted(spark: SparkSession, d: str) -> DataFrame:
     return fl.top_weighted(basis(spark, d)[1], 25)
 
 
-@query("extend_basis", f"{ALL}, {BASIS} SELECT b, pos, e FROM bas UNION ALL SELECT path_id + 10000000, pos, e FROM pth WHERE path_id % 10 = 1")
+@query("extend_basis", f"{ALL}, {BASIS} SELECT b, pos, e FROM bas UNION ALL SELECT -path_id - 1, pos, e FROM pth")
 def extend_basis(spark: SparkSession, d: str) -> DataFrame:
-    more = fx.paths(spark, d).where("path_id % 10 = 1").select((F.col("path_id") + 10000000).alias("b"), "pos", "e")
+    more = fx.paths(spark, d).select((-F.col("path_id") - 1).alias("b"), "pos", "e")
     return fl.extend_basis(basis(spark, d)[0], more)
 
 
@@ -563,11 +563,11 @@ def trivial_basis(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "basis_gram",
-    f"""{ALL}, bas AS (SELECT path_id AS b, pos, e FROM pth WHERE path_id % 100 = 0), m AS (SELECT b, e, count(*) AS mult FROM bas GROUP BY b, e)
+    f"""{ALL}, {BASIS}, m AS (SELECT b, e, count(*) AS mult FROM bas GROUP BY b, e)
 SELECT x.b AS b1, y.b AS b2, sum(x.mult * y.mult)::BIGINT AS dot FROM m x JOIN m y ON x.e = y.e AND x.b <= y.b GROUP BY x.b, y.b""",
 )
 def basis_gram(spark: SparkSession, d: str) -> DataFrame:
-    return fl.gram(basis(spark, d)[0].where("b % 100 = 0"), field_from_paths(spark, d))[0]
+    return fl.gram(basis(spark, d)[0], field_from_paths(spark, d))[0]
 
 
 @query(
@@ -578,9 +578,9 @@ def basis_projection(spark: SparkSession, d: str) -> DataFrame:
     return fl.gram(basis(spark, d)[0], field_from_paths(spark, d))[1]
 
 
-@query("representatives", f"{ALL} SELECT path_id, pos, e, 'Path: ' || path_id AS source FROM pth WHERE path_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 20 = 3)")
+@query("representatives", f"{ALL} SELECT path_id, pos, e, 'Path: ' || path_id AS source FROM pth WHERE path_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def representatives(spark: SparkSession, d: str) -> DataFrame:
-    ids = fx.table(spark, d, "orders").where("o_orderkey % 20 = 3").select(F.col("o_orderkey").alias("path_id"))
+    ids = fx.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path_id"))
     r = fl.representatives(fx.paths(spark, d), ids)
     return r.select("path_id", "pos", "e", tx.describe_source(F.col("path_id"), F.lit("")).alias("source"))
 
@@ -647,18 +647,18 @@ def terminal_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 LOGS = """lgs AS (
   SELECT 'run' || (l_orderkey % 9) AS run, l_linenumber::INT AS it, 'step' || (l_suppkey % 3) AS step, l_partkey * 1.0::DOUBLE AS spent,
-         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k
-  FROM lineitem WHERE l_orderkey % 50 = 0)"""
+         l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k
+  FROM lineitem)"""
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines made of order lines, and read again."""
+    """Log lines made of all order lines (under 100 an order), and read again."""
     from pyspark.sql import Window
 
     from . import experiment as ex
 
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # a small test log
-    li = fx.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").withColumn("k", F.row_number().over(order))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = fx.table(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 100 + F.row_number().over(order))
     at = F.timestamp_seconds(F.col("k") + F.lit(1_700_000_000))
     body = F.struct(F.col("l_linenumber").alias("it"), F.concat(F.lit("step"), F.col("l_suppkey") % 3).alias("step"), F.col("l_partkey").cast("double").alias("timeSpent"))
     lines = li.select(F.concat(F.lit("run"), F.col("l_orderkey") % 9).alias("run"), ex.format_log(at, body).alias("line"))
