@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, table
+from .common import frugal, ragged, table
 
 #: Rows times columns of one matrix.
 MATRIX_CELLS = 1 << 16
@@ -294,7 +294,7 @@ def encode(
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded
-    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return out.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:

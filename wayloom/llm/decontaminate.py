@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alphanumeric, materialise, ship, string_chunks, table, words_of
+from .common import alphanumeric, frugal, materialise, ship, string_chunks, table, words_of
 
 WINDOW = 13
 #: Characters of benchmark text that are broadcast at once.
@@ -311,7 +311,7 @@ def find_contamination(
             if shard.rows:
                 yield shard.results()
 
-        return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, {OUT}")
+        return d.mapInArrow(frugal(run), f"id {d.schema['id'].dataType.simpleString()}, {OUT}")
 
     blocks = _blocks(benchmark, item_col, item_text_col)
     if len(blocks) == 1:

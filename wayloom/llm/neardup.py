@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .cells import SCHEMA as CELL_ROWS
 from .cells import gathered, packed, partition_number
-from .common import drop_table_files, marked, materialise, mix, ship, space_separated, string_chunks, table, words_of
+from .common import drop_table_files, frugal, give_back, marked, materialise, mix, ship, space_separated, string_chunks, table, words_of
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -143,7 +143,7 @@ def _prepare(d: DataFrame, n: int, percent: int, order) -> DataFrame:
                     names=["id", "n", "digest", "prefix", "matches", *signs],
                 )
 
-    return d.mapInArrow(run, "id long, n long, digest binary, prefix binary, matches int, " + ", ".join(f"{c} long" for c in signs))
+    return d.mapInArrow(frugal(run), "id long, n long, digest binary, prefix binary, matches int, " + ", ".join(f"{c} long" for c in signs))
 
 
 def _postings(sets: DataFrame, crowded: bool) -> DataFrame:
@@ -221,7 +221,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
         if many:
             yield from rows(0, *_counted(found))
 
-    return postings.mapInArrow(run, "kind int, x long, y long, c long, p long, q long")
+    return postings.mapInArrow(frugal(run), "kind int, x long, y long, c long, p long, q long")
 
 
 def _then_none(batches):
@@ -283,11 +283,11 @@ def _verified(pairs: DataFrame, d: DataFrame, n: int, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(link, pa.bool_()), pa.array(both, pa.int64())], names=["a", "b", "link", "same"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = marked(d.where("id IS NOT NULL"), ids, ["id"]).mapInArrow(packed_texts, "id long, size long, text binary")
+    texts = marked(d.where("id IS NOT NULL"), ids, ["id"]).mapInArrow(frugal(packed_texts), "id long, size long, text binary")
     left = texts.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("text").alias("u"))
     right = texts.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("text").alias("v"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "u", "v")
-    got = both.mapInArrow(compare, "a long, b long, link boolean, same long")
+    got = both.mapInArrow(frugal(compare), "a long, b long, link boolean, same long")
     # an id with several texts: the nearest counts
     return materialise(got.groupBy("a", "b").agg(F.max("link").alias("link"), F.when(F.count("*") == 1, F.max("same")).alias("same")), "verified")
 
@@ -393,8 +393,10 @@ def near_duplicates(
                 total[at] = np.minimum(total[at] + many, 255)
         yield from packed(total, partition_number(), np.uint32)
 
-    counts = gathered(d.select("text").mapInArrow(count, CELL_ROWS), CELLS, np.uint32, "sum")
+    counts = gathered(d.select("text").mapInArrow(frugal(count), CELL_ROWS), CELLS, np.uint32, "sum")
     order = ship(spark, Order(counts))  # CELLS cells, whatever the input
+    del counts
+    give_back()
     every = materialise(_prepare(d, n, percent, order), "prefixes")
     order.unship()
     first = materialise(every.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "sets")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, ship, space_separated, string_chunks, table, words_of
+from .common import frugal, give_back, mix, ship, space_separated, string_chunks, table, words_of
 
 #: Labelled documents of each label that are fitted, at most.
 SAMPLE = 1024
@@ -92,7 +92,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Projection, labelled latent vectors and their labels."""
+    """Projection, labelled latent vectors and their labels; the feature rows are overwritten."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 1.0
@@ -103,17 +103,19 @@ class Model:
         seen = (rows[:, :4096] > 0).sum(0)
         self.weight = np.ones(FEATURES, np.float32)
         self.weight[:4096] = np.log((1 + len(rows)) / (1 + seen))
-        x = self.weighted(rows)
-        gram = x @ x.T
-        value, vector = np.linalg.eigh(gram.astype(np.float64))
+        x = self.weighted(rows, rows)
+        value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))
         top = np.argsort(-value)[:DIMENSIONS]
         top = top[value[top] > 1e-9]
         # right singular vectors: X' U / s
-        self.project = (x.T @ vector[:, top] / np.sqrt(value[top])).astype(np.float32)
+        vector = vector[:, top] / np.sqrt(value[top])
+        self.project = np.zeros((FEATURES, len(top)), np.float32)
+        for k in range(0, FEATURES, 512):  # in columns: the whole product would copy x in double precision
+            self.project[k : k + 512] = x[:, k : k + 512].T @ vector
         self.vectors = self.unit(x @ self.project)
 
-    def weighted(self, rows: np.ndarray) -> np.ndarray:
-        x = rows * self.weight
+    def weighted(self, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        x = np.multiply(rows, self.weight, out=out)
         grams = x[:, :4096]
         grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-9)
         x[:, 4096:] *= 0.5
@@ -161,12 +163,16 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
                 )
 
     texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # repeated rows count once
-    got = texts.select("id", "text", "label").mapInArrow(run, "id string, label int, at binary, value binary").collect()
+    got = texts.select("id", "text", "label").mapInArrow(frugal(run), "id string, label int, at binary, value binary").collect()
     got = sorted(got, key=lambda r: (r.label, r.id))
     rows = np.zeros((len(got), FEATURES), np.float32)
     for k, r in enumerate(got):
         rows[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
-    return Model(rows, np.array([r.label for r in got], np.int64))
+    known, got = np.array([r.label for r in got], np.int64), None
+    model = Model(rows, known)
+    del rows
+    give_back()
+    return model
 
 
 def classify(
@@ -197,7 +203,7 @@ def classify(
                 scores = [model.value.score(features(data[off[j] : off[k]], off[j : k + 1] - off[j])) for j in range(0, len(off) - 1, BLOCK) for k in [min(j + BLOCK, len(off) - 1)]]
                 yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(np.concatenate(scores))], names=schema.names)
 
-    out = d.mapInArrow(run, schema)
+    out = d.mapInArrow(frugal(run), schema)
     return out.select(F.col("id_").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), F.col("score").alias(score_col))
 
 
