@@ -223,3 +223,10 @@ def test_matching_queries_run_on_every_point(spark):
     lines, points = iterative.short_lines(spark, d), fixtures.points(spark, d)
     assert lines.select("traj_id", "pos").exceptAll(points.select("traj_id", "pos")).isEmpty() and lines.count() == points.count()
     assert lines.where("x < 0 OR y < 0 OR x > 2000 OR y > 2000").isEmpty()
+
+
+def test_intervals_that_meet_in_one_place_are_one(spark):
+    """A corner at exactly the radius: both cells are the place 1 alone, a tie in every order by (lo, hi)."""
+    v = spark.createDataFrame([(0, 200.0, 2000.0)], "v long, x double, y double")
+    p = line(spark, {"a": [(218, 71), (168, 1976), (164, 1966)]}).drop("t")
+    assert [tuple(r) for r in fz.merged_intervals(p, v, 40.0).collect()] == [("a", 0, 1.0, 1.0, 2)]
