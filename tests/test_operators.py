@@ -230,3 +230,17 @@ def test_intervals_that_meet_in_one_place_are_one(spark):
     v = spark.createDataFrame([(0, 200.0, 2000.0)], "v long, x double, y double")
     p = line(spark, {"a": [(218, 71), (168, 1976), (164, 1966)]}).drop("t")
     assert [tuple(r) for r in fz.merged_intervals(p, v, 40.0).collect()] == [("a", 0, 1.0, 1.0, 2)]
+
+
+def test_selection_of_a_table_equals_that_of_a_list_and_collects_nothing(spark, monkeypatch):
+    from wayloom.plans import QUERIES
+
+    ids = [3 * k for k in range(1000)]
+    d = spark.createDataFrame([(k,) for k in ids], "id long").repartition(7)
+    for mode, value in (("percentage", 0.05), ("count", 30), ("fraction", 1.0), ("fixed", 0)):
+        got = sorted(map(tuple, ex.select_rows(d, "id", 7, mode, value).collect()))
+        assert [r[1] for r in got] == ex.select_ids(ids, 7, mode, value) and [r[0] for r in got] == list(range(len(got)))
+    with pytest.raises(ValueError):
+        ex.select_rows(d, "id", 7, "other", 1)
+    monkeypatch.setattr(ex, "select_ids", None)  # the query holds no list of ids
+    assert tuple(QUERIES["seeded_selection"](spark, "/root/testdata/sf0.001").first()) == (73, True, True)

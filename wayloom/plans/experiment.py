@@ -10,11 +10,15 @@ import itertools
 import json
 import random
 import re
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decompose as dc
+from ..store import cut
 
 # --- settings -------------------------------------------------------------------------
 
@@ -68,14 +72,47 @@ def runs(settings: dict) -> list[dict]:
     return out
 
 
-def select_ids(ids: list, seed: int, mode: str, value: float) -> list:
-    """A seeded shuffle of all ids; ``percentage`` (or ``fraction``) takes that share, ``count`` (or ``fixed``) that number."""
+def selected(n: int, seed: int, mode: str, value: float) -> array:
+    """Places in 0..n-1 by a seeded shuffle of all; ``percentage`` (or ``fraction``) takes that share, ``count`` (or ``fixed``) that number."""
     if mode not in ("percentage", "fraction", "count", "fixed"):
         raise ValueError(f"unknown selection mode {mode!r}")
-    order = list(range(len(ids)))
+    order = array("I" if n < 1 << 32 else "Q", range(n))
     random.Random(seed).shuffle(order)
-    n = int(value * len(ids)) if mode in ("percentage", "fraction") else int(value)
-    return [ids[k] for k in order[:n]]
+    return order[: int(value * n) if mode in ("percentage", "fraction") else int(value)]
+
+
+def select_ids(ids: list, seed: int, mode: str, value: float) -> list:
+    """The ids at the ``selected`` places."""
+    return [ids[k] for k in selected(len(ids), seed, mode, value)]
+
+
+def select_rows(rows: DataFrame, key: str, seed: int, mode: str, value: float) -> DataFrame:
+    """(place, columns of ``rows``): ``select_ids`` of a table in the order of its unique ``key``.
+
+    Nothing is collected but a count for each part of the sorted table.  The shuffle is one
+    sequence by contract: one task draws it and holds four bytes a row (eight from 2^32 rows on).
+    """
+    if mode not in ("percentage", "fraction", "count", "fixed"):
+        raise ValueError(f"unknown selection mode {mode!r}")
+    spark = rows.sparkSession
+    d = cut(rows.orderBy(key).withColumns({"part_": F.spark_partition_id(), "number_": F.monotonically_increasing_id()}))
+    starts, total = [], 0
+    for r in d.groupBy("part_").agg(F.min("number_").alias("least"), F.count("*").alias("n")).orderBy("part_").collect():
+        starts.append((r.part_, total - r.least))
+        total += r.n
+    starts = spark.createDataFrame(starts, "part_ int, shift_ long")  # one row a part
+
+    def draw(batches):
+        for b in batches:
+            if b.num_rows:
+                order = np.frombuffer(selected(total, seed, mode, value), np.uint32 if total < 1 << 32 else np.uint64)
+                for k in range(0, len(order), 1 << 16):
+                    at = order[k : k + (1 << 16)].astype(np.int64)
+                    yield pa.record_batch({"place": np.arange(k, k + len(at)), "at_": at})
+
+    chosen = spark.range(1, numPartitions=1).mapInArrow(draw, "place long, at_ long")
+    d = d.join(F.broadcast(starts), "part_").withColumn("at_", F.col("number_") + F.col("shift_"))
+    return d.join(chosen, "at_").select("place", *rows.columns)
 
 
 def sample_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
