@@ -216,3 +216,31 @@ def test_set_cover_is_minimal():
         best = next(n for n in range(1, 8) for c in itertools.combinations(sets, n) if set().union(*(sets[k] for k in c)) == universe)
         assert len(sv.set_cover(sets, universe)) == best
     assert sv.set_cover({1: {1}}, {1, 2}) is None
+
+
+def test_many_pairs_are_decided_and_measured_as_single_ones():
+    rng = np.random.default_rng(5)
+
+    def lines(n):
+        size = rng.integers(1, 7, n)
+        return fr.Lines(*rng.integers(0, 6, (2, size.sum())).astype(float), size)
+
+    for _ in range(5):
+        p, q = lines(12), lines(12)
+        i, j = np.divmod(np.arange(144), 12)
+        radius = rng.integers(0, 8, 144).astype(float)
+        assert fr.within_many(p, i, q, j, radius).tolist() == [fr.within(p.one(a), q.one(b), r) for a, b, r in zip(i, j, radius, strict=True)]
+        d = np.array([fr.distance(p.one(a), q.one(b), 1e-2) for a, b in zip(i, j, strict=True)])
+        assert fr.distance_many(p, i, q, j, 1e-2).tolist() == d.tolist()
+        assert (fr.end_bounds(p, q)[i, j] <= d + 1e-9).all() and (fr.step_bounds(p, q)[i, j] >= d - 1e-2).all()
+        least = fr.distance_many(p, i, q, j, 1e-2, group=i)
+        assert [np.nanmin(least[i == k]) for k in range(12)] == [d[i == k].min() for k in range(12)]
+
+
+def test_cover_of_many_sets_takes_no_pairs_of_them():
+    import time
+
+    sets = {k: {k, k + 1} for k in range(0, 20_000, 2)} | {k: {k} for k in range(1, 20_000, 2)}
+    began = time.process_time()
+    assert sv.set_cover(sets, set(range(20_000))) == list(range(0, 20_000, 2))
+    assert time.process_time() - began < 5

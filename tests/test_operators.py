@@ -244,3 +244,18 @@ def test_selection_of_a_table_equals_that_of_a_list_and_collects_nothing(spark,
         ex.select_rows(d, "id", 7, "other", 1)
     monkeypatch.setattr(ex, "select_ids", None)  # the query holds no list of ids
     assert tuple(QUERIES["seeded_selection"](spark, "/root/testdata/sf0.001").first()) == (73, True, True)
+
+
+def test_chunks_of_any_size_give_equal_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pts = {str(k): rng.integers(0, 30, (rng.integers(1, 6), 2)).tolist() for k in range(30)}
+    d = line(spark, pts)
+    left, right = d.where("traj_id < '2'"), d.where("traj_id >= '2'")
+    every = {(a, b): fr.distance(np.array(p, float), np.array(q, float), 0.1) for a, p in pts.items() for b, q in pts.items()}
+    best = {a: min((x, b) for (c, b), x in every.items() if c == a and b >= "2") for a in pts if a < "2"}
+    for size, held in ((256, 4096), (2, 3)):
+        monkeypatch.setattr(fz, "CHUNK", size)
+        monkeypatch.setattr(fz, "MEASURED", held)
+        assert {(r.a, r.b) for r in fz.table(d, d, 0.1, 9.0).collect()} == {k for k, x in every.items() if fr.within(np.array(pts[k[0]], float), np.array(pts[k[1]], float), 9.0)}
+        assert {r.a: (r.distance, r.b) for r in fz.nearest(left, right).collect()} == best
+        assert tuple(fz.distortion(left, right).first()) == (pytest.approx(np.mean([x for x, _ in best.values()])), len(best))
