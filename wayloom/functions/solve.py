@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import numpy as np
 
 
@@ -110,12 +113,25 @@ def set_cover(sets: dict, universe: set, exact_most: int = 24) -> list | None:
     sets = {k: set(v) & universe for k, v in sets.items()}
     if set().union(*sets.values()) != universe:
         return None
-    useful = {k: v for k, v in sets.items() if v and not any((v < w) or (v == w and j < k) for j, w in sets.items() if j != k)}
-    left, greedy = set(universe), []
-    while left:
-        k = min(useful, key=lambda k: (-len(useful[k] & left), k))
-        greedy.append(k)
-        left -= useful[k]
+    having: dict = defaultdict(list)
+    for k, v in sets.items():
+        for x in v:
+            having[x].append(k)
+
+    def spare(k, v: set) -> bool:  # a set that holds v holds its rarest element
+        return any((v < sets[j]) or (v == sets[j] and j < k) for j in min((having[x] for x in v), key=len) if j != k)
+
+    useful = {k: v for k, v in sets.items() if v and not spare(k, v)}
+    left, greedy, heap = set(universe), [], [(-len(v), k) for k, v in useful.items()]
+    heapq.heapify(heap)
+    while left:  # gains only fall: a set whose gain is still the one in the heap is best
+        gain, k = heapq.heappop(heap)
+        now = len(useful[k] & left)
+        if now == -gain:
+            greedy.append(k)
+            left -= useful[k]
+        elif now:
+            heapq.heappush(heap, (-now, k))
     best = sorted(greedy)
     if len(useful) > exact_most:
         return best
