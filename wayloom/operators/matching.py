@@ -33,9 +33,24 @@ def transition(straight: float, route: float) -> float:
     return (route + 1e-12) / (straight + 1e-12) if straight >= route else straight / route
 
 
+#: Ways that a matcher remembers.
+WAYS = 100_000
+
+
 class Matcher:
+    """Matches one line after the other; the searches of the earlier ones serve the later."""
+
     def __init__(self, net: Net, speed_bound: float):
-        self.net, self.speed, self.known = net, speed_bound, {}
+        self.net, self.speed, self.known, self.ways = net, speed_bound, {}, {}
+
+    def way(self, source: int, sink: int) -> list[int] | None:
+        """Edges of a shortest way; None if there is none."""
+        if (source, sink) not in self.ways:
+            if len(self.ways) > WAYS:
+                self.ways.clear()
+            found = self.net.shortest(source, sink)
+            self.ways[source, sink] = None if found is None else found[1]
+        return self.ways[source, sink]
 
     def route(self, source: int, sink: int, bound: float) -> float | None:
         """Shortest length below ``bound``, from a table of one search a source."""
@@ -104,13 +119,19 @@ class Matcher:
         for (a, off, _), (b, to, _) in zip(run, run[1:], strict=False):
             if a == b and to >= off:
                 continue
-            way = self.net.shortest(self.net.dst[a], self.net.src[b])
+            way = self.way(self.net.dst[a], self.net.src[b])
             if way is None:
                 break
-            path += [*way[1], b]
+            path += [*way, b]
         return path
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Trajectories are small and their searches long: the tasks are not merged by bytes."""
+    sc = rows.sparkSession.sparkContext
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism), "traj_id")
+
+
 def match(points: DataFrame, edges: DataFrame, vertices: DataFrame, lines: DataFrame, k: int = 8, radius: float = 300.0, gps_error: float = 50.0, speed_bound: float = INF) -> DataFrame:
     """(traj_id, edges, offset, size, input_size) of the trajectories that match.
 
@@ -120,16 +141,21 @@ def match(points: DataFrame, edges: DataFrame, vertices: DataFrame, lines: DataF
     c = candidates(points, lines, k, radius, gps_error).select("traj_id", "pos", "e", "rank", "offset", "emission")
     d = points.select("traj_id", "pos", "x", "y", "t").join(c, ["traj_id", "pos"], "left")
 
+    held: list[Matcher] = []  # one a task
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = shared.value
+        if not held:
+            held.append(Matcher(shared.value, speed_bound))
+        matcher, net = held[0], shared.value
         pdf = pdf.sort_values(["pos", "rank"])
-        layers, places = [], []
-        for _, g in pdf.groupby("pos", sort=True):
-            first = g.iloc[0]
-            places.append((first.x, first.y, first.t))
-            known = g.dropna(subset=["e"])
-            layers.append([(net.index[int(e)], off, em) for e, off, em in zip(known.e, known.offset, known.emission, strict=True)])
-        matcher = Matcher(net, speed_bound)
+        layers, places, last = [], [], None
+        for pos, x, y, t, e, off, em in zip(*(pdf[c].tolist() for c in ("pos", "x", "y", "t", "e", "offset", "emission")), strict=True):
+            if pos != last:
+                places.append((x, y, t))
+                layers.append([])
+                last = pos
+            if e == e and e is not None:  # a point without candidates has one row without an edge
+                layers[-1].append((net.index[int(e)], off, em))
         start, found = matcher.pieces(layers, places)
         names = ["traj_id", "edges", "offset", "size", "input_size"]
         if not found:
@@ -137,7 +163,7 @@ def match(points: DataFrame, edges: DataFrame, vertices: DataFrame, lines: DataF
         path = [net.e[i] for i in matcher.stitch(found)]
         return pd.DataFrame([(pdf.traj_id.iloc[0], path, start, len(found), len(layers))], columns=names)
 
-    return d.groupBy("traj_id").applyInPandas(run, "traj_id string, edges array<long>, offset long, size long, input_size long")
+    return _dealt(d).groupBy("traj_id").applyInPandas(run, "traj_id string, edges array<long>, offset long, size long, input_size long")
 
 
 def match_frechet(lines: DataFrame, edges: DataFrame, vertices: DataFrame, radius: float | None = None, lower: float = 5.0, precision: float = 0.1) -> DataFrame:
@@ -163,4 +189,4 @@ def match_frechet(lines: DataFrame, edges: DataFrame, vertices: DataFrame, radiu
                     rows.append((name, found[0], [shared.value.e[i] for i in found[1]]))
             yield pd.DataFrame(rows, columns=["traj_id", "radius", "edges"])
 
-    return to_arrays(lines).mapInPandas(run, "traj_id string, radius double, edges array<long>")
+    return _dealt(to_arrays(lines)).mapInPandas(run, "traj_id string, radius double, edges array<long>")
