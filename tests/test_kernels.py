@@ -244,3 +244,36 @@ def test_cover_of_many_sets_takes_no_pairs_of_them():
     began = time.process_time()
     assert sv.set_cover(sets, set(range(20_000))) == list(range(0, 20_000, 2))
     assert time.process_time() - began < 5
+
+
+def test_radii_below_the_least_one_are_not_searched(monkeypatch):
+    net, rng, tried = grid(), np.random.default_rng(6), []
+    search = fr.graph_path
+    monkeypatch.setattr(fr, "graph_path", lambda n, p, r: tried.append(r) or search(n, p, r))
+    for _ in range(20):
+        line = rng.random((5, 2)) * 4 - 0.5
+        got, least = fr.best_graph_path(net, line, 0.01, 0.01), fr.least_radius(net, line)
+        assert tried and min(tried) >= least
+        tried.clear()
+        with monkeypatch.context() as m:
+            m.setattr(fr, "least_radius", lambda n, p: 0.0)
+            assert fr.best_graph_path(net, line, 0.01, 0.01) == got
+        assert tried[0] == 0.01
+        tried.clear()
+
+
+def test_edges_left_out_of_the_first_block_are_searched_as_well(monkeypatch):
+    net, line = grid(), np.array([[0.1, 0.1], [1.9, 0.2], [2.1, 2.2]])
+    want = fr.best_graph_path(net, line, 0.1, 0.01)
+    monkeypatch.setattr(fr, "CELLS", 1)
+    assert fr.best_graph_path(net, line, 0.1, 0.01) == want
+
+
+def test_a_matcher_serves_one_line_after_the_other():
+    from wayloom.operators import matching as mt
+
+    net = grid()
+    one = mt.Matcher(net, math.inf)
+    first = one.way(0, 10)
+    net.shortest = None
+    assert one.way(0, 10) == first and len(first) == 4

@@ -259,3 +259,11 @@ def test_chunks_of_any_size_give_equal_pairs(spark, monkeypatch):
         assert {(r.a, r.b) for r in fz.table(d, d, 0.1, 9.0).collect()} == {k for k, x in every.items() if fr.within(np.array(pts[k[0]], float), np.array(pts[k[1]], float), 9.0)}
         assert {r.a: (r.distance, r.b) for r in fz.nearest(left, right).collect()} == best
         assert tuple(fz.distortion(left, right).first()) == (pytest.approx(np.mean([x for x, _ in best.values()])), len(best))
+
+
+def test_searches_for_few_lines_are_dealt_to_many_tasks(spark):
+    v, e = grid(spark)
+    p = line(spark, {str(k): [(0, 0), (1, 0), (2, 0)] for k in range(40)})
+    d = mt.match_frechet(p, e, v, lower=0.1, precision=0.1)
+    assert d.count() == 40
+    assert d.select(F.spark_partition_id()).distinct().count() > 4

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frechet as fr
@@ -126,10 +126,10 @@ class Matcher:
         return path
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
     """Trajectories are small and their searches long: the tasks are not merged by bytes."""
     sc = rows.sparkSession.sparkContext
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism), "traj_id")
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism), by)
 
 
 def match(points: DataFrame, edges: DataFrame, vertices: DataFrame, lines: DataFrame, k: int = 8, radius: float = 300.0, gps_error: float = 50.0, speed_bound: float = INF) -> DataFrame:
@@ -163,7 +163,7 @@ def match(points: DataFrame, edges: DataFrame, vertices: DataFrame, lines: DataF
         path = [net.e[i] for i in matcher.stitch(found)]
         return pd.DataFrame([(pdf.traj_id.iloc[0], path, start, len(found), len(layers))], columns=names)
 
-    return _dealt(d).groupBy("traj_id").applyInPandas(run, "traj_id string, edges array<long>, offset long, size long, input_size long")
+    return _dealt(d, F.col("traj_id")).groupBy("traj_id").applyInPandas(run, "traj_id string, edges array<long>, offset long, size long, input_size long")
 
 
 def match_frechet(lines: DataFrame, edges: DataFrame, vertices: DataFrame, radius: float | None = None, lower: float = 5.0, precision: float = 0.1) -> DataFrame:
@@ -189,4 +189,5 @@ def match_frechet(lines: DataFrame, edges: DataFrame, vertices: DataFrame, radiu
                     rows.append((name, found[0], [shared.value.e[i] for i in found[1]]))
             yield pd.DataFrame(rows, columns=["traj_id", "radius", "edges"])
 
-    return _dealt(to_arrays(lines)).mapInPandas(run, "traj_id string, radius double, edges array<long>")
+    # by another key than the one of the arrays, else the plan drops the step
+    return _dealt(to_arrays(lines), F.xxhash64("traj_id")).mapInPandas(run, "traj_id string, radius double, edges array<long>")
