@@ -267,3 +267,15 @@ def test_searches_for_few_lines_are_dealt_to_many_tasks(spark):
     d = mt.match_frechet(p, e, v, lower=0.1, precision=0.1)
     assert d.count() == 40
     assert d.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_products_of_representatives_and_members_are_those_of_all(spark):
+    rng = np.random.default_rng(8)
+    rows = [(b, k, int(e)) for b in range(40) for k, e in enumerate(rng.integers(0, 4, rng.integers(1, 4)))]
+    basis = spark.createDataFrame(rows, "b long, pos long, e long")
+    field = spark.createDataFrame([(e, 1.0) for e in range(4)], "e long, value double")
+    products, same = fl.gram_by_class(basis, field)
+    got, rep = {(r.b1, r.b2): r.dot for r in products.collect()}, {r.b: r.rep for r in same.collect()}
+    want = {(r.b1, r.b2): r.dot for r in fl.gram(basis, field)[0].collect()}
+    every = {(a, b): got[min(rep[a], rep[b]), max(rep[a], rep[b])] for a in range(40) for b in range(a, 40) if (min(rep[a], rep[b]), max(rep[a], rep[b])) in got}
+    assert every == want and len(got) < len(want) and set(rep) == set(range(40))
