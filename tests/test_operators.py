@@ -1,6 +1,7 @@
 """Operators on small networks: quirks, invariants, and plans that stay pruned."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -279,3 +280,17 @@ def test_products_of_representatives_and_members_are_those_of_all(spark):
     want = {(r.b1, r.b2): r.dot for r in fl.gram(basis, field)[0].collect()}
     every = {(a, b): got[min(rep[a], rep[b]), max(rep[a], rep[b])] for a in range(40) for b in range(a, 40) if (min(rep[a], rep[b]), max(rep[a], rep[b])) in got}
     assert every == want and len(got) < len(want) and set(rep) == set(range(40))
+
+
+def test_products_by_class_are_summed_where_they_arise(spark, monkeypatch):
+    basis = spark.createDataFrame([(b, pos, (b % 5 * 3 + pos) % 7) for b in range(12) for pos in range(4)], "b long, pos int, e long")
+    field = spark.createDataFrame([(k, 1.0) for k in range(7)], "e long, value double")
+    products, same = fl.gram_by_class(basis, field)
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(b1" in plan and not re.search(r"hashpartitioning\(b1#\d+L?, b2", plan)  # pairs are not shuffled
+    rows, reps = sorted(products.collect()), sorted(same.collect())
+    assert all(r.rep == r.b % 5 for r in reps)
+    monkeypatch.setattr(fl, "MOST_CLASSES", 0)
+    monkeypatch.setattr(fl, "MOST_SHARED", 0)
+    products, same = fl.gram_by_class(basis, field)
+    assert (sorted(products.collect()), sorted(same.collect())) == (rows, reps)
