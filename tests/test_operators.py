@@ -294,3 +294,41 @@ def test_products_by_class_are_summed_where_they_arise(spark, monkeypatch):
     monkeypatch.setattr(fl, "MOST_SHARED", 0)
     products, same = fl.gram_by_class(basis, field)
     assert (sorted(products.collect()), sorted(same.collect())) == (rows, reps)
+
+
+def turning(rng, n: int) -> dict[str, list]:
+    """Lines that go to and fro, some of them with other numbers of turns, each beside its place."""
+    out = {}
+    for k in range(n):
+        step = np.abs((np.arange(rng.integers(8, 20)) + 6) % 12 - 6)
+        out[f"{k:02}"] = np.stack([step * 12.0, step * 8.0], 1) + np.cumsum(rng.integers(-2, 3, (len(step), 2)), 0) + rng.integers(0, 10, 2)
+    return out
+
+
+def test_marks_leave_out_no_pair_within_the_radius():
+    rng = np.random.default_rng(4)
+    p = fr.Lines.joined([*turning(rng, 80).values()])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80)))
+    middle = (float(p.x.min() + p.x.max()) / 2, float(p.y.min() + p.y.max()) / 2)
+    for radius in (3.0, 6.0, 12.0, 20.0):
+        marks, key = fr.marks(p, radius, middle)
+        near = fr.within_many(p, i, p, j, np.full(len(i), radius))
+        far = (np.abs(marks[i] - marks[j]) > radius + 1e-6).any(1) | ((key[i] != key[j]) & (key[i] != 0) & (key[j] != 0))
+        ends = fr.end_bounds(p, p)[i, j] <= radius
+        assert near.sum() >= 80 + 100 * (radius > 10) and not (near & far).any() and (ends & far).sum() > 0
+
+
+def test_table_and_nearest_of_turning_lines_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pts = turning(rng, 60)
+    d = line(spark, {k: p.tolist() for k, p in pts.items()})
+    every = {(a, b): fr.distance(p, q, 1e-3) for a, p in pts.items() for b, q in pts.items()}
+    monkeypatch.setattr(fz, "PART", 7)
+    monkeypatch.setattr(fz, "CHUNK", 5)
+    got = {(r.a, r.b): r.distance for r in fz.table(d, d, 1e-3, 14.05).collect()}
+    assert len(got) > 100 and set(got) == {k for k, x in every.items() if x <= 14.05}
+    assert all(got[k] == pytest.approx(every[k], abs=0.01) for k in got)
+    near = fz.nearest(d.where("traj_id < '30'"), d.where("traj_id >= '30'"), 1e-3).collect()
+    assert len(near) == 30
+    for r in near:
+        assert r.distance == pytest.approx(min(every[r.a, f"{b}"] for b in range(30, 60)), abs=0.01)
